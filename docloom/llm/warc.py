@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm._shared import new_folder, only, small_batches
+from docloom.llm._shared import new_folder, only, small_batches, written
 
 #: Records of equal payloads of at least so many bytes refer to each other.
 LEAST_PAYLOAD = 0
@@ -123,7 +123,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     size = F.octet_length("html")
     # the groups meet as counts and largest ids; only digests with several pages are joined back
     several = pages.where(size >= LEAST_PAYLOAD).select("page_id", hexed.alias("sha1")).groupBy("sha1").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first_id")).where("n > 1").drop("n")
-    marked = pages.withColumn("sha1", hexed).join(several, "sha1", "left")
+    marked = pages.withColumn("sha1", hexed).join(several.hint("merge"), "sha1", "left")  # the same plan at every size
     marked = marked.withColumn("refers_to", F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")))
     marked = marked.select("page_id", "url", "html", base32_of_hex(F.upper("sha1")).alias("digest"), "refers_to")
 
@@ -143,7 +143,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in RECORD.split(", ")]
         for b in batches:
             for k in range(b.num_rows):
                 archive, out = b.column(0)[k].as_py(), []
@@ -154,11 +153,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         out = []
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=RECORD_SCHEMA)
-        assert names == RECORD_SCHEMA.names
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    out = files.mapInArrow(run, RECORD)
-    return out
+    return files.mapInArrow(run, RECORD)
 
 
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, archive string, place long, length long"
@@ -247,28 +244,16 @@ class Lookup:
         return parsed(zlib.decompress(data, 31))
 
 
-def indexed_records(spark: SparkSession, archives: str, index: str) -> DataFrame:
-    """All captures by way of the index: its blocks' lines, each with the record that its range of its archive holds. Blocks are dealt by archive, and each archive is opened once."""
+def indexed_records(records: DataFrame, index: str) -> DataFrame:
+    """The records (of read_archives(), with or without payload) that the index names, found by archive, place and length."""
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0):
                 rows = block_lines(x.as_py())
                 yield pa.RecordBatch.from_pydict({"archive": [r[2] for r in rows], "place": pa.array([r[3] for r in rows], pa.int64()), "length": pa.array([r[4] for r in rows], pa.int64())})
 
-    ranges = spark.read.parquet(index).select("block").mapInArrow(lines, "archive string, place long, length long")
-    ranges = ranges.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("place", "length"))).alias("ranges"))  # RECORDS_PER_FILE at most
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives).select(F.col("path").alias("archive"), "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                archive, content, out = b.column("archive")[k].as_py(), memoryview(b.column("content")[k].as_buffer()), []
-                for r in b.column("ranges")[k].as_py():
-                    got = parsed(zlib.decompress(content[r["place"] : r["place"] + r["length"]], 31))
-                    out.append({**got, "payload": None, "archive": archive, **r})
-                yield pa.RecordBatch.from_pylist(out, schema=RECORD_SCHEMA)
-
-    return files.join(ranges, "archive").mapInArrow(run, RECORD)
+    ranges = records.sparkSession.read.parquet(index).select("block").mapInArrow(lines, "archive string, place long, length long")
+    return records.join(ranges.hint("merge"), ["archive", "place", "length"])
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
@@ -276,5 +261,6 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     archives, index = new_folder(spark, "warc"), new_folder(spark, "warc-index")
     write_archives(pages, archives)
-    build_index(read_archives(spark, archives).drop("payload"), index)
-    return indexed_records(spark, archives, index)
+    records = written(read_archives(spark, archives).drop("payload"), "warc-records")
+    build_index(records, index)
+    return indexed_records(records, index)
