@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,8 @@ SLICE_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches between the JVM and Python small, as rows may hold long texts."""
+    """Keep Arrow batches between the JVM and Python small, as rows may hold long texts; and let Python workers find this package where it stands beside the driver."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
 

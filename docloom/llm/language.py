@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -79,23 +78,21 @@ def train(rows: DataFrame, label: str = "lang") -> tuple[list[str], np.ndarray]:
                 found, _ = grams(texts)
                 sums[lang][:BUCKETS] += np.bincount(found, minlength=BUCKETS)
                 sums[lang][BUCKETS] += len(texts)
-        if sums:
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
-
-    # one row a task and language, added up by tens of tasks at a time, so that the driver gets one row a language
-    def add(_: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.int64) for x in parts["counts"]], axis=0)
-        return pd.DataFrame({"lang": [parts["lang"].iloc[0]], "counts": [total.tobytes()]})
-
-    parts = rows.mapInArrow(count, "lang string, counts binary")
-    parts = parts.groupBy("lang", F.spark_partition_id().bitwiseAND(31).alias("part")).applyInPandas(add, "lang string, counts binary")
-    counted = parts.groupBy("lang").applyInPandas(add, "lang string, counts binary").limit(MOST_LANGUAGES + 1).collect()
-    if len(counted) > MOST_LANGUAGES:
+        for lang, counts in sums.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(counts[at], pa.int64())})
+
+    counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    parts = counted.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).limit(MOST_LANGUAGES + 1)  # BUCKETS + 1 a language
+    by = {}
+    for r in parts.toLocalIterator():
+        by[r["lang"]] = np.zeros(BUCKETS + 1)
+        by[r["lang"]][[x["bucket"] for x in r["counts"]]] = [x["n"] for x in r["counts"]]
+    if len(by) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    langs = sorted(r["lang"] for r in counted)
+    langs = sorted(by)
     if not langs:
         return [], np.zeros((BUCKETS + 1, 0))
-    by = {r["lang"]: np.frombuffer(r["counts"], np.int64).astype(float) for r in counted}
     all_counts = np.stack([by[x] for x in langs], axis=1)
     weights = all_counts[:BUCKETS] + SMOOTHING
     matrix = np.log(weights) - np.log(weights.sum(axis=0))
