@@ -27,6 +27,12 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.jaccard import cluster
+
+    return cluster(read(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.secrets import scan
 
@@ -65,7 +71,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_urls, op5_secrets, op6_decontaminate, op7_bpe, op8_quality, op9_language, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_urls, op4_jaccard, op5_secrets, op6_decontaminate, op7_bpe, op8_quality, op9_language, op10_warc)}
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": """
         WITH v AS (
