@@ -7,8 +7,9 @@ document's key is its log-weight plus Gumbel noise (from doc_id and SEED, so a l
 keys are kept. k is the number of documents whose log-weight reaches a cut, which labelled documents fix: it parts good from
 bad best while at least KEEP of the good reach it.
 
-The target and the cut are fitted on the LABELLED labelled documents whose doc_id hashes lowest; counts, weights and the
-sampling cover all documents. Good: quality 1 and not toxic, by all labels of the doc_id. Null or empty texts have weight 0.
+The target and the cut are fitted on the LABELLED labelled documents whose doc_id hashes lowest, half of them (by another
+hash) for the target and half for the cut, which so sees weights as they are for documents that the target hasn't seen;
+counts, weights and the sampling cover all documents. Good: quality 1 and not toxic, by all labels of the doc_id. Null or empty texts have weight 0.
 Without good labels all weights are 0 and all documents are kept. Equal keys at the boundary are all kept, so copies of a
 row share their fate. Texts are read whole. An empty table gives no rows.
 """
@@ -71,12 +72,18 @@ def labelled_sample(labels: DataFrame) -> dict[int, bool]:
     return {r[0]: r[1] for r in labels.groupBy("doc_id").agg(good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).collect()}
 
 
+def for_target(ids: np.ndarray) -> np.ndarray:
+    """Which labelled documents teach the target; the others fix the cut."""
+    return mix(ids.astype(np.int64).astype(np.uint64)) & np.uint64(1) == 0
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[int, bool]]:
     """The log-ratios (characters' buckets, then words') and the labelled sample."""
     spark = docs.sparkSession
     small_batches(spark)
     sample = labelled_sample(labels)
-    good = spark.sparkContext.broadcast(np.array(sorted(i for i, g in sample.items() if g), np.int64))
+    ids = np.array(sorted(i for i, g in sample.items() if g), np.int64)
+    good = spark.sparkContext.broadcast(ids[for_target(ids)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 2 << BITS), np.int64)
@@ -171,7 +178,8 @@ def choose(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, f
     spark = docs.sparkSession
     if not sample:
         return scored, ratios, -np.inf
-    known = F.broadcast(spark.createDataFrame(list(sample.items()), "doc_id long, good boolean"))  # LABELLED rows at most
+    ids = np.array(list(sample), np.int64)
+    known = F.broadcast(spark.createDataFrame([(int(i), sample[int(i)]) for i in ids[~for_target(ids)]], "doc_id long, good boolean"))  # LABELLED rows at most
     fitted = scored.join(known, "doc_id").groupBy("doc_id", "good").agg(F.max("log_weight").alias("w")).toPandas()
     cut = best_cut(fitted["w"].to_numpy(), fitted["good"].to_numpy(bool)) if len(fitted) else -np.inf
     if cut == -np.inf:
