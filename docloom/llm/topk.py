@@ -9,7 +9,7 @@ The queries are taken in blocks of QUERY_BLOCK; each block is broadcast, and eac
 Vectors that are null, or hold null or non-finite components, take no part. Vectors are compared with those of their own
 length; empty ones score 0 with each other. Ties go to the smaller vec_id. A row never matches rows with its own vec_id; of
 several queries with one vec_id the smallest vector counts; repeated candidate rows count each. Rows with a null vec_id take
-no part. An empty table gives no rows. Extra columns are ignored.
+no part. Scores must fit 64 bits; larger ones are an error. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
