@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from dataclasses import dataclass, field
 
 from docloom.errors import JsonError
@@ -13,6 +14,8 @@ from docloom.errors import JsonError
 STRICT, OK, NAN_INF, JSONC, JSON5, BAD, FATAL = range(7)
 LEVELS = ("STRICT", "OK", "NAN_INF", "JSONC", "JSON5", "BAD", "FATAL")
 DEEPEST = 512
+#: Reading, evaluating and writing so deep a document takes several frames a level.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))
 SPACE = re.compile(r"[ \t\r\n]+")
 OTHER_SPACE = re.compile(r"[\s\ufeff\u2028\u2029]+")
 NUMBER = re.compile(r"[+-]?(?:0[xX][0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)")

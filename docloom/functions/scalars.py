@@ -76,6 +76,13 @@ def truthy(c: Column, t: T.DataType) -> Column:
     return F.lit(False)
 
 
+def condition(c: Column, t: T.DataType) -> Column:
+    """What truthy() says, as a filter's condition: null may stand for false, so that the scan can have it."""
+    if isinstance(t, T.BooleanType):
+        return c
+    return c != 0 if isinstance(t, T.NumericType) else truthy(c, t)
+
+
 def double_text(c: Column) -> Column:
     """A double as JSON text: whole numbers end in .0; infinities and NaN in words. Others as Spark prints them, which is the shortest text that reads back."""
     return c.cast("string")
@@ -104,7 +111,7 @@ def divide(a: Column, b: Column) -> Column:
 def binary(op: str, a: tuple[Column, T.DataType], b: tuple[Column, T.DataType]) -> tuple[Column, T.DataType]:
     (x, tx), (y, ty) = a, b
     if op in ("==", "!="):
-        if is_number(tx) and is_number(ty) and tx != ty:
+        if is_number(tx) and is_number(ty) and tx != ty and not (is_integer(tx) and is_integer(ty)):
             x, y = as_double(x, tx), as_double(y, ty)
         elif is_text(tx) != is_text(ty) and not isinstance(tx, T.NullType) and not isinstance(ty, T.NullType):
             raise Untyped(f"a {tx.simpleString()} can't be compared with a {ty.simpleString()}")
@@ -113,7 +120,7 @@ def binary(op: str, a: tuple[Column, T.DataType], b: tuple[Column, T.DataType])
     if op in ("<", ">", "<=", ">="):
         if is_number(tx) != is_number(ty) or is_text(tx) != is_text(ty):
             raise Untyped(f"a {tx.simpleString()} can't be compared with a {ty.simpleString()}")
-        if is_number(tx) and tx != ty:
+        if is_number(tx) and tx != ty and not (is_integer(tx) and is_integer(ty)):
             x, y = as_double(x, tx), as_double(y, ty)
         return {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op], BOOL
     if op == "=~":

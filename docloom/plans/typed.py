@@ -217,7 +217,8 @@ class Compiler:
                 made.append(out.type)
                 return out.c
 
-            return Value(F.transform(arrays[0].c, each), T.ArrayType(made[0] if made else s.NULL)) if (c := F.transform(arrays[0].c, each)) is not None and made else Value(c, T.ArrayType(s.NULL))
+            c = F.transform(arrays[0].c, each)
+            return Value(c, T.ArrayType(made[0]))
         if len(xs) == 2:
             made = []
 
@@ -340,10 +341,9 @@ class Compiler:
         if isinstance(condition, Member):
             return self.semi(x, condition)
         columns = x.df.columns
-        df = joined(x.df, x.joins).where(s.truthy(*condition.pair)).select(*map(quoted, columns))
+        df = joined(x.df, x.joins).where(s.condition(*condition.pair)).select(*map(quoted, columns))
         # joins stay for items that refer to them
-        held = [j for j in x.joins if j[2] != "cross" or not _only_condition(j, x)]
-        out = Relation(df, x.item, object(), x.order, held if _refers(x.item, held) else [])
+        out = Relation(df, x.item, object(), x.order, list(x.joins) if _refers(x.item, x.joins) else [])
         if isinstance(x.item, Row):
             out.item = Row(F.struct(*map(quoted, columns)), df.schema)
         return out
@@ -376,10 +376,8 @@ class Compiler:
             raise Untyped("a mask on groups")
         condition = self.eval(first.condition, x)
         if isinstance(x.type, T.ArrayType) and isinstance(condition.type, T.ArrayType):
-            pairs = F.arrays_zip(x.c.alias("v"), condition.c.alias("k"))
             same = F.size(x.c) == F.size(condition.c)
             kept = F.transform(F.filter(F.zip_with(x.c, condition.c, lambda v, k: F.struct(v.alias("v"), k.alias("k"))), lambda p: p["k"]), lambda p: p["v"])
-            del pairs
             return self.each(Value(F.when(same, kept).otherwise(F.raise_error(F.lit("a mask of another length"))), x.type), rest)
         ok = s.truthy(*condition.pair)
         if isinstance(x.type, T.ArrayType):
@@ -629,10 +627,6 @@ def joined(df: DataFrame, joins: list) -> DataFrame:
     return df
 
 
-def _only_condition(j, x: Relation) -> bool:
-    return False
-
-
 def _refers(item: Value, joins: list) -> bool:
     text = str(item.c)
     return any(n in text for j in joins for n in j[0].columns if n.startswith("__"))
