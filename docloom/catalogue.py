@@ -98,6 +98,10 @@ QUERIES: dict[str, tuple[str, str, str]] = {
     "regex_find_all": ("pages", "@[:]{k: @.page_id, links: len(s_fa(@.html, g`href=\"([^\"]*)\"`)), first: s_fa(@.html, g`href=\"([^\"]*)\"`)[0]}", "SELECT page_id AS k, CAST(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS BIGINT) AS links, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)[1] AS first FROM pages"),
     "regex_find": ("documents", "@[:]{k: @.doc_id, n: len(s_find(@.text, g`[0-9]+`))}", "SELECT doc_id AS k, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS n FROM documents"),
     "regex_numbers": ("events", "@[:]{k: @.event_id, v: s_fa(@.props, `(INT)`, false, 0)[0]}", "SELECT event_id AS k, CAST(regexp_extract(props, '[+-]?[0-9]+') AS DOUBLE) AS v FROM events"),
+    "csv_text": ("nation", "@[:]{k: @.n_nationkey, r: s_csv(f`{@.n_name},{@.n_regionkey}`, 2, , `\\n`, , h)[0][1], n: s_count(@.n_name, csv_regex(1))}", "SELECT n_nationkey AS k, CAST(n_regionkey AS VARCHAR) AS r, CAST(1 AS BIGINT) AS n FROM nation"),
+    "regex_split_groups": ("part", "@[:]{k: @.p_partkey, a: s_split(@.p_brand, g`(#)`)[1], b: s_split(@.p_brand, g`(#)`)[2]}", "SELECT p_partkey AS k, '#' AS a, split_part(p_brand, '#', 2) AS b FROM part"),
+    "regex_callback": ("part", "@[:]{k: @.p_partkey, t: s_sub(@.p_brand, g`(\\d+)`, s_cat(loop(), `<`, @[1], `>`))}", "SELECT p_partkey AS k, regexp_replace(p_brand, '(\\d+)', '1<\\1>') AS t FROM part"),
+    "stringify": ("nation", "@[:]{k: @.n_nationkey, t: stringify(@), f: s_format(`{b: 1, a: [2]}`, c)}", "SELECT n_nationkey AS k, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' AS t, '{\"a\": [2], \"b\": 1}' AS f FROM nation"),
     # numbers
     "numbers": ("customer", "@[:]{k: @.c_custkey, a: abs(@.c_acctbal), b: round(@.c_acctbal), c: round(@.c_acctbal, 1), d: int(@.c_acctbal), e: float(@.c_custkey), f: num(`0x` + `1F`), g: str(@.c_custkey)}",
         "SELECT c_custkey AS k, abs(c_acctbal) AS a, CAST(round_even(c_acctbal, 0) AS BIGINT) AS b, round_even(c_acctbal * 10, 0) / 10 AS c, CAST(round_even(c_acctbal, 0) AS BIGINT) AS d, CAST(c_custkey AS DOUBLE) AS e, CAST(31 AS DOUBLE) AS f, CAST(c_custkey AS VARCHAR) AS g FROM customer"),

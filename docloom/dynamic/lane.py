@@ -13,9 +13,14 @@ from pyspark.sql import types as T
 from docloom.errors import JsonError, QueryError
 
 
+def root() -> str:
+    """The folder that this package stands in."""
+    return str(Path(__file__).resolve().parents[2])
+
+
 def ship(df: DataFrame) -> None:
     """Let Python workers find this package where it stands beside the driver."""
-    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", root())
 
 
 def mapped(df: DataFrame, column: str, f, fields: str) -> DataFrame:

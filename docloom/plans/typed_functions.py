@@ -3,9 +3,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from docloom.errors import QueryError, Untyped
@@ -29,6 +31,9 @@ def call(c: Compiler, node: t.Call, at):
         return logical(c, node, at)
     if name in ("sort_by", "max_by", "min_by") and not isinstance(node.args[1], t.Literal):
         return by_callback(c, node, at)
+    if name == "s_sub" and t.mentions_input(node.args[2]):
+        p = c.eval(node.args[1], at)
+        return c.lift(lambda x: in_python("s_sub", x, s.STRING, p.known, callback=node.args[2]), c.eval(node.args[0], at))
     if name == "s_slice" and isinstance(node.args[1], t.Slice):
         place = node.args[1].parts
         return c.lift(lambda x: sliced(x, place), c.eval(node.args[0], at))
@@ -564,8 +569,8 @@ def substitute(v: Value, pattern: Value, by: Value) -> Value:
 
 def split(v: Value, pattern: Value | None = None) -> Value:
     raw = known(pattern, "a pattern") if pattern is not None else r"\s+"
-    if s.groups_of(raw):
-        raise Untyped("s_split with groups")
+    if s.groups_of(raw):  # the groups are among the parts
+        return in_python("s_split", v, T.ArrayType(s.STRING), pattern.known)
     return Value(F.split(text(v), s.java_pattern(raw) if pattern is not None and isinstance(pattern.known, t.Regex) else raw, -1), T.ArrayType(s.STRING))
 
 
@@ -584,6 +589,71 @@ def sliced(v: Value, place) -> Value:
     return Value(c.substr((low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")), s.STRING)
 
 
+def in_python(name: str, v: Value, kind: T.DataType, *rest, callback: t.Node | None = None) -> Value:
+    """A function that Column expressions can't say: the dynamic lane's, in Arrow batches. rest: its other arguments, constants; callback: an expression instead of the last."""
+    from docloom.dynamic.lane import root
+
+    as_json = not s.is_text(v.type)
+    where = root()
+
+    @pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.Series:
+        import sys
+
+        sys.path[:0] = [where] if where not in sys.path else []
+        from docloom.dynamic import library, reader
+        from docloom.dynamic.evaluator import Box, Evaluator, boxed
+
+        e = Evaluator(Box(None))
+        more = [*rest, *([lambda b: e.eval(callback, b)] if callback is not None else [])]
+
+        def one(x):
+            if x is None:
+                return None
+            value = reader.parse(x) if as_json else x
+            if name in library.ELEMENTWISE:
+                return library.ELEMENTWISE[name](e, value, *more)
+            return library.FUNCTIONS[name](e, boxed(value), *map(Box, more)).v
+
+        return texts.map(one)
+
+    c = F.to_json(v.c) if as_json and isinstance(v.type, (T.StructType, T.ArrayType, T.MapType)) else s.as_text(*v.pair) if as_json else v.c.cast("string")
+    return Value(run(c), kind)
+
+
+def given(args) -> list:
+    return [None if a is None else a.known if isinstance(a, Value) and isinstance(a.known, t.Regex) else known(a, "an argument") for a in args]
+
+
+def s_csv(v: Value, columns: Value, *more: Value) -> Value:
+    """Rows of strings (header n or h); objects and numbers are the dynamic lane's."""
+    rest = given((columns, *more))
+    if len(rest) > 5 or len(rest) == 5 and rest[4] == "d":
+        raise Untyped("s_csv with objects or numbers")
+    kind = T.ArrayType(s.STRING) if rest[0] == 1 else T.ArrayType(T.ArrayType(s.STRING))
+    return in_python("s_csv", v, kind, *rest)
+
+
+def csv_regex(c: Compiler, n, *more):
+    from docloom.dynamic.library import csv_marks
+    from docloom.functions.regexes import csv_row
+
+    pattern = csv_row(known(n, "the number of columns"), *csv_marks(*given(more)))
+    return Value(F.lit(pattern), s.STRING, t.Regex(pattern))
+
+
+def stringify(c: Compiler, x, *more):
+    if isinstance(x, Relation):
+        raise Untyped("stringify of a relation")
+    return in_python("stringify", x, s.STRING, *given(more))
+
+
+def to_csv(c: Compiler, x, *more):
+    if isinstance(x, Relation):
+        raise Untyped("to_csv of a relation; write it with sources.sinks.write_csv")
+    return in_python("to_csv", x, s.STRING, *given(more))
+
+
 def zero_filled(v: Value, n: Value) -> Value:
     c, width = s.as_text(*v.pair), known(n, "the length")
     return Value(F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c), s.STRING)
@@ -630,6 +700,8 @@ ELEMENTS = {
     "round": rounded,
     "s_count": lambda v, p: Value(F.regexp_count(text(v), F.lit(pattern_of(p))).cast("long"), s.LONG),
     "s_fa": find_all,
+    "s_csv": s_csv,
+    "s_format": lambda v, *more: in_python("s_format", v, s.STRING, *given(more)),
     "s_find": lambda v, p: Value(F.regexp_extract_all(text(v), F.lit(pattern_of(p)), F.lit(0)), T.ArrayType(s.STRING)),
     "s_len": lambda v: Value(s.utf16_length(text(v)), s.LONG),
     "s_lines": lambda v: Value(F.split(text(v), r"\r\n?|\n", -1), T.ArrayType(s.STRING)),
@@ -645,3 +717,4 @@ ELEMENTS = {
     "str": lambda v: Value(s.as_text(*v.pair), s.STRING),
     "zfill": zero_filled,
 }
+WHOLE |= {"csv_regex": csv_regex, "stringify": stringify, "to_csv": to_csv}
