@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -36,12 +38,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet into the shared folder and read again: lineage ends there, and a lost executor costs no more than one stage."""
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """The same rows, written as Parquet into the shared folder and read again: lineage ends there, and a lost executor costs no more than one stage. free: also have Spark remove the shuffle files of plans that nothing refers to any longer, which it else does at the driver's next full garbage collection."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` rows of df, all of them if there are no more: those whose key's hash is below the share that they make up. No task hands on more than its own share."""
+    n = df.count()
+    if n <= most:
+        return df
+    return df.where(F.xxhash64(key) < F.lit(int(-(1 << 63) + (1 << 64) * most / n))).limit(2 * most)
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
@@ -56,6 +71,18 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def keeps_names(stage):
+    """For a function of documents that returns their columns: while it works, columns whose names clash with those of documents (other case) have other names."""
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = docs.columns
+        own = {c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in names}
+        out = stage(docs.toDF(*(c if c in own else f"__extra_{i}" for i, c in enumerate(names))), *args, **kwargs)
+        return out.toDF(*names)
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about `most` bytes of the column."""
     for b in batches:

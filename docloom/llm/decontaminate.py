@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._shared import ALNUM, hashed, only, slices, small_batches, utf8, words
+from docloom.llm._shared import ALNUM, hashed, keeps_names, only, slices, small_batches, utf8, words
 
 WINDOW = 10
 SAMPLE = 8
@@ -80,7 +80,8 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(step):
         key <<= bits
-        key[: n - k] |= value[k:] if k else value
+        if k < n:
+            key[: n - k] |= value[k:]
     order = np.argsort(key)
     rank = np.empty(n, np.int64)
 
@@ -267,6 +268,7 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@keeps_names
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs with the removal spans cut out of text, n_chars being the new length; other columns and rows without hits stay as they are."""
     small_batches(docs.sparkSession)
@@ -281,7 +283,8 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             dirty = np.unique(row[hit])
             if len(dirty):
                 texts = b.column(column).to_pylist()
-                n_chars = b.column(b.schema.get_field_index("n_chars")).to_pylist()
+                size_at = b.schema.get_field_index("n_chars")  # -1 without that column
+                n_chars = b.column(size_at).to_pylist() if size_at >= 0 else [None] * b.num_rows
                 for r in dirty.tolist():
                     mine = slice(*np.searchsorted(row, [r, r + 1]))
                     left, at = [], offsets[r]
@@ -292,8 +295,8 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     texts[r] = b"".join(left).decode()
                     n_chars[r] = len(texts[r])
                 b = b.set_column(column, b.schema.field(column), pa.array(texts, b.schema.field(column).type))
-                at = b.schema.get_field_index("n_chars")
-                b = b.set_column(at, b.schema.field(at), pa.array(n_chars, pa.int64()))
+                if size_at >= 0:
+                    b = b.set_column(size_at, b.schema.field(size_at), pa.array(n_chars, pa.int64()))
             yield b
 
     return docs.mapInArrow(run, docs.schema)

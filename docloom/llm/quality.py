@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._shared import NOT_SPACE, hashed, mix, only, slices, small_batches, utf8, words, written
+from docloom.llm._shared import NOT_SPACE, hash_sample, hashed, keeps_names, mix, only, slices, small_batches, utf8, words, written
 
-#: Most labelled documents that the target model and the cut are fitted on.
+#: The target model and the cut are fitted on about so many labelled documents (twice as many at the very most).
 LABELLED = 20_000
 KEEP = 0.999
 #: Losing a share of the good counts so many times as much as keeping that share of the bad.
@@ -69,7 +69,7 @@ def labelled_sample(labels: DataFrame) -> dict[int, bool]:
     """doc_id -> good, of the LABELLED lowest hashes; rows with a null doc_id or no label teach nothing."""
     labels = only(labels, "doc_id", "quality", "toxic").where("doc_id is not null and quality is not null")
     good = (F.min(F.coalesce(F.col("quality") == 1, F.lit(False))) & ~F.max(F.coalesce(F.col("toxic") == 1, F.lit(False)))).alias("good")
-    return {r[0]: r[1] for r in labels.groupBy("doc_id").agg(good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).collect()}
+    return {r[0]: r[1] for r in hash_sample(labels.groupBy("doc_id").agg(good), "doc_id", LABELLED).collect()}
 
 
 def for_target(ids: np.ndarray) -> np.ndarray:
@@ -194,6 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.withColumn("kept", F.col("key") >= F.lit(least))
 
 
+@keeps_names
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the sample keeps, with all their columns; texts are not shuffled."""
     _, ratios, least = choose(docs, labels)

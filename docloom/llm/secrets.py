@@ -6,7 +6,7 @@ with a digit) can be begin or inside; all others are outside whatever their weig
 candidates between tokens that are outside for certain, and decoding each run by Viterbi decodes the text exactly.
 Features: the token's shape (length, character classes, hex, digits, variety, known prefixes), the words and characters
 beside it, and its file (what share of its characters are digits, how many candidates, whether a word like `password` is
-anywhere in it). The field is trained here, by maximum likelihood, on the candidates of at most SAMPLE documents (those
+anywhere in it). The field is trained here, by maximum likelihood, on the candidates of about SAMPLE documents (those
 whose doc_id hashes lowest, of at most SAMPLE_CHARS characters), tagged by the base patterns, and on made-up lines.
 
 Null and empty texts have no spans. Texts are read whole. Repeated rows each give a row; extra columns are ignored, or
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._shared import only, slices, small_batches
+from docloom.llm._shared import hash_sample, keeps_names, only, slices, small_batches
 
 SAMPLE, SAMPLE_CHARS = 1000, 20_000
 #: Kinds of spans, in the order in which spans with the same start are listed.
@@ -277,8 +277,8 @@ def tagged(text: str, secrets: list[tuple[int, int]]) -> tuple[list[list[list[st
 
 def fit(docs: DataFrame) -> Field:
     """Train on a bounded sample of docs and on made-up lines; a document's base spans are its secrets."""
-    sample = only(docs, "doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    texts = [r["text"] for r in sample.collect()]
+    sample = hash_sample(only(docs, "doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS)), "doc_id", SAMPLE)
+    texts = sorted(r["text"] for r in sample.collect())
     secrets = [(t, [(m.start(2), m.end(2)) for m in ASSIGN.finditer(t) if len(m[2]) >= 12] + [s[1:] for s in base_spans(t) if s[0] != "assign"]) for t in texts]
     return train([x for t, s in made_up() + secrets if (x := tagged(t, s))])
 
@@ -320,6 +320,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
+@keeps_names
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows of docs, with mark in the place of all secrets in text, and n_chars the new length; other rows and columns stay as they are."""
     spark = docs.sparkSession
@@ -329,7 +330,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             at, size_at = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
-            texts, sizes, changed = b.column(at).to_pylist(), b.column(size_at).to_pylist(), False
+            texts, sizes, changed = b.column(at).to_pylist(), b.column(size_at).to_pylist() if size_at >= 0 else [None] * b.num_rows, False
             for k, text in enumerate(texts):
                 _, spans = all_spans(text, model.value)
                 if spans:
@@ -337,7 +338,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                     sizes[k] = len(texts[k])
             if changed:
                 b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
-                b = b.set_column(size_at, b.schema.field(size_at), pa.array(sizes, pa.int64()))
+                if size_at >= 0:
+                    b = b.set_column(size_at, b.schema.field(size_at), pa.array(sizes, pa.int64()))
             yield b
 
     return docs.mapInArrow(run, docs.schema)

@@ -472,3 +472,20 @@ def test_archives_are_gzip_files_of_warc_records(spark, tmp_path):
     write_archives(spark.createDataFrame([(1, "http://a/", "<p>"), (2, "http://b/", "é")], "page_id long, url string, html string"), f"file://{tmp_path}/w")
     data = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path, "w").glob("part-*"))
     assert data.count(b"WARC/1.1\r\n") == 2 and data.count(b"\r\n\r\nHTTP/1.1 200 OK") == 2
+
+
+# --- stages keep other columns, also those whose names clash
+
+def test_stages_keep_other_columns(spark, documents):
+    from docloom.llm import decontaminate, jaccard, quality, secrets
+
+    docs = documents([f"a b c d e f {SECRET}", f"a b c d e f {SECRET}", None, "x y"]).selectExpr("*", "'k' AS extra")
+    benchmark = spark.createDataFrame([(1, "b c d")], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    clash = docs.selectExpr("'q' AS TEXT", "7 AS Doc_Id", "*")
+    for make, rows in ((lambda d: quality.keep(d, labels), 4), (lambda d: jaccard.keep_one(d, 5, (80, 100)), 3), (lambda d: decontaminate.remove(d, benchmark), 4), (secrets.redact, 4)):
+        out = make(docs)
+        assert out.columns == docs.columns and out.count() == rows and {r["extra"] for r in out.collect()} == {"k"}
+        other = make(clash)
+        assert other.columns == clash.columns and other.count() == rows
+    assert decontaminate.remove(docs.drop("n_chars"), benchmark).first()["text"].startswith("a  e f")
