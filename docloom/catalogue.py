@@ -76,6 +76,7 @@ QUERIES: dict[str, tuple[str, str, str]] = {
     # relations with each other
     "semi": ("orders", "@[:][in(@.o_custkey, customer[:][@.c_acctbal < 0].c_custkey)].o_orderkey", "SELECT o_orderkey AS value FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"),
     "anti": ("customer", "@[:][not in(@.c_custkey, orders[:].o_custkey)].c_custkey", "SELECT c_custkey AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "member_flag": ("customer", "@[:]{k: @.c_custkey, active: in(@.c_custkey, orders[:].o_custkey), poor: not in(@.c_custkey, customer[:][@.c_acctbal > 0].c_custkey)}", "SELECT c_custkey AS k, c_custkey IN (SELECT o_custkey FROM orders) AS active, c_acctbal <= 0 AS poor FROM customer"),
     "lookup_join": ("nation", "var r = group_by(region, r_regionkey); @[:]{nation: @.n_name, region: at(r, @.n_regionkey)[0].r_name}", "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "union_all": ("nation", "len(concat(nation, nation))", "SELECT 2 * count(*) AS value FROM nation"),
     "union_distinct": ("orders", "unique(concat(orders[:][@.o_orderstatus == F]->@.o_custkey, orders[:][@.o_orderstatus == O]->@.o_custkey))", "SELECT o_custkey AS value FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'"),

@@ -179,6 +179,7 @@ class Compiler:
 
     def lift(self, f: Callable, *xs):
         """f over all elements of whatever is an array or relation; aggregates and constants go along."""
+        xs = tuple(self.in_row(x) if isinstance(x, Member) else x for x in xs)
         relations = [x for x in xs if isinstance(x, Relation)]
         if relations:
             first = relations[0]
@@ -240,6 +241,14 @@ class Compiler:
             name = f"__one_{next(_fresh)}"
             self.joins[-1].append((joined(x.df, x.joins).agg(x.c.alias(name)), None, "cross"))
             return Value(F.col(name), x.type)
+        if isinstance(x, Member):
+            if not self.joins:
+                raise Untyped("membership outside of a row")
+            key, flag = f"__key_{next(_fresh)}", f"__in_{next(_fresh)}"
+            table = joined(x.of.df, x.of.joins).select(x.of.item.c.alias(key)).distinct().withColumn(flag, F.lit(True))
+            self.joins[-1].append((table, x.known.eqNullSafe(F.col(key)), "left"))
+            found = F.coalesce(F.col(flag), F.lit(False))
+            return Value(~found if x.negated else found, s.BOOL)
         if isinstance(x, Value):
             return x
         raise Untyped("a relation where a row's value is needed")
@@ -361,7 +370,7 @@ class Compiler:
             if isinstance(condition, Relation) and condition.origin is x.origin:
                 joins = list(x.joins) + [j for j in condition.joins if j not in x.joins]
                 return self.each(self.kept(replace(x, joins=joins), condition.item), rest)
-            if isinstance(condition, Value) and condition.known is not ABSENT:
+            if isinstance(condition, Value) and not isinstance(condition, Member) and condition.known is not ABSENT:
                 return self.each(x if condition.known else replace(x, df=x.df.where(F.lit(False)), origin=object()), rest)
             if isinstance(condition, (Aggregate, Member)):
                 joins = list(x.joins)
