@@ -133,7 +133,7 @@ with np.errstate(over="ignore"):
 
     def _power(base: int, n: int, name: str) -> np.ndarray:
         if name not in _powers or len(_powers[name]) < n:
-            x = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+            x = np.full(max(n, 1 << 20), base, np.uint64)
             x[0] = 1
             _powers[name] = np.cumprod(x, dtype=np.uint64)
         return _powers[name][:n]

@@ -12,13 +12,14 @@ are either light or heavy, by size:
 The boundary is the largest size up to which enumerating costs no more keys than the list entries that a set of that size
 makes and meets; the mean length of a list comes from counts over all documents.
 
-Lists and subset keys are read in two steps, both complete together. First every set of a list is paired with the list's
-smallest and largest set id, which makes a number of pairs in proportion to the entries; the pairs that link give first
-components. Then only the lists that still hold several components are read pairwise, in blocks of BLOCK entries, and
-only pairs from different components come out whose 512-bit parity sketches differ in no more places than linked sets can
-(the sketch never rules out a pair that links). Every pair is verified on the whole sets. No list is cut short.
-
-Sets and shingles are known by 64-bit hashes; a set stands for all documents with that set. Null and empty texts, and rows
+Lists and subset keys are read in two steps, both complete together. A list of two entries is one pair, for the first round.
+First, for a few rounds, every set is paired with one
+other: each list with several components names two sets from different ones, drawn by hash, and a set's partner is the one
+from another component that most of its lists name; the pairs that link join components. Then only the lists that still hold several components are read pairwise, in blocks of BLOCK entries, and
+only pairs from different components come out whose parity sketches differ in no more places than linked sets can (the
+sketch never rules out a pair that links). Every pair is verified on the whole sets. No list is cut short.
+
+Shingles are known by 64-bit hashes, sets by 56-bit ones with a class of their size; a set stands for all documents with it. Null and empty texts, and rows
 with a null doc_id, have no links; a null doc_id has a null component_id. Equal rows have equal results. Repeated doc_ids
 with different texts are different documents. An empty table gives no rows. Extra columns are ignored, or carried along by
 keep_one().
@@ -28,26 +29,34 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._shared import NOT_SPACE, hashed, mix, only, slices, small_batches, utf8, words, written
+from docloom.llm._shared import NOT_SPACE, hashed, keeps_names, mix, only, slices, small_batches, utf8, words, written
 
 #: A shingle is frequent from this share of all documents on: the broadcast list of frequent ones has at most
 #: mean set size / FREQUENT entries.
-FREQUENT = 1 / 1000
+FREQUENT = 1 / 4000
 #: A task reports a shingle that so many of its documents hold, of about CHUNK shingles at a time.
-SEEN, CHUNK = 3, 4_000_000
+SEEN, CHUNK = 2, 4_000_000
 #: Sets beyond this size are never light: their subsets are too many.
 LARGEST_LIGHT = 40
 #: Entries of a list that are compared pairwise at a time.
 BLOCK = 2048
-SKETCH_BITS = 512
-#: Bits (as a power of two) of the filter that says which sets a verification needs.
+#: Bits of a sketch: the power of two from four times a set's size on, between the least and the most; list entries carry it
+#: folded, to the power of two from twice the size on, between SHORT_BITS and the most.
+LEAST_BITS, SHORT_BITS, MOST_BITS = 512, 2048, 1 << 16
+#: The last bits of a set's id say its size, in steps of this factor.
+CLASS_BITS, CLASS_FACTOR = 8, 1.08
+#: Bytes of text that are handled at a time.
+SLICE = 1 << 20
+#: Rounds of pairing every set with one other before lists are read pairwise.
+STAR_ROUNDS = 3
+#: Bits (as a power of two) of the filters that say which keys are shared and which sets a verification needs.
 FILTER_BITS = 27
 ROUNDS = 60
 
@@ -109,12 +118,42 @@ def shingle_sets(b: pa.RecordBatch, k: int) -> list[np.ndarray]:
 
 def set_id(u: np.ndarray) -> int:
     with np.errstate(over="ignore"):
-        return int(mix(np.array([u.sum(dtype=np.uint64) + np.uint64(len(u))]))[0].astype(np.int64))
+        h = mix(np.array([u.sum(dtype=np.uint64) + np.uint64(len(u))]))[0]
+    size = min((1 << CLASS_BITS) - 1, int(log(len(u)) / log(CLASS_FACTOR))) if len(u) else 0
+    return int(((h >> np.uint64(CLASS_BITS) << np.uint64(CLASS_BITS)) | np.uint64(size)).astype(np.int64))
+
+
+def sizes_can_link(a: str, b: str, limit: tuple[int, int]):
+    """Whether the size classes of two ids allow a link."""
+    size = lambda c: F.col(c).bitwiseAND((1 << CLASS_BITS) - 1)
+    return F.abs(size(a) - size(b)) <= 1 + ceil(log(limit[1] / limit[0]) / log(CLASS_FACTOR))
 
 
 def sketch(u: np.ndarray) -> bytes:
-    """The parity of the number of elements in each of SKETCH_BITS cells."""
-    return np.packbits((np.bincount((u >> np.uint64(55)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool)).tobytes()
+    """The parity of the number of elements in each of a number of cells, by the low bits of the hash."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(u) - 1).bit_length()))
+    cell = (u & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of one length as rows of 64-bit words, folded to size bytes: fewer cells, each the sum of several."""
+    out = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)  # lengths are powers of two
+    while out.shape[1] > size:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return np.ascontiguousarray(out).view(np.uint64)
+
+
+def apart(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """In how many cells two sketches differ, at the size of the shorter: never more than their sets' elements that the other lacks."""
+    sizes = np.array([(len(x), len(y)) for x, y in zip(xs, ys, strict=True)]).reshape(-1, 2)
+    out = np.zeros(len(xs), np.int64)
+    for p, q in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes[:, 0] == p) & (sizes[:, 1] == q))
+        a, b = (folded([z[i] for i in at], min(p, q)) for z in (xs, ys))
+        out[at] = np.bitwise_count(a ^ b).sum(axis=1)
+    return out
 
 
 def light_keys(u: np.ndarray, largest: int, limit: tuple[int, int]) -> list[int]:
@@ -141,9 +180,9 @@ def corpus_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, floa
             heads = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
             n = np.diff(np.append(heads, len(every)))
             many = n >= SEEN
-            return pa.RecordBatch.from_pydict({"kind": ["shingle"] * int(many.sum()), "hash": pa.array(every[heads[many]].astype(np.int64), pa.int64()), "n": pa.array(n[many], pa.int64())})
+            return pa.RecordBatch.from_pydict({"kind": pa.array(["shingle"] * int(many.sum()), pa.string()), "hash": pa.array(every[heads[many]].astype(np.int64), pa.int64()), "n": pa.array(n[many], pa.int64())})
 
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             sets = shingle_sets(b, k)
             rows += sum(len(u) > 0 for u in sets)
             held += sets
@@ -176,16 +215,18 @@ def signatures(docs: DataFrame, k: int, limit: tuple[int, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, level, largest = model.value
-        for b in slices(batches):
-            n, ids, sketches, keys = [], [], [], []
+        for b in slices(batches, most=SLICE):
+            n, ids, sketches, short, keys = [], [], [], [], []
             for u in shingle_sets(b, k):
                 n.append(len(u))
                 ids.append(set_id(u))
                 if not len(u):
                     sketches.append(None)
+                    short.append(None)
                     keys.append(np.zeros(0, np.int64))
                     continue
                 sketches.append(sketch(u))
+                short.append(folded(sketches[-1:], min(MOST_BITS, max(SHORT_BITS, 1 << (2 * len(u) - 1).bit_length())) // 8).tobytes())
                 mine = [np.zeros(0, np.uint64)]
                 if len(u) <= largest:
                     mine.append(mix(np.array(light_keys(u, largest, limit), np.uint64)))
@@ -198,9 +239,9 @@ def signatures(docs: DataFrame, k: int, limit: tuple[int, int]) -> DataFrame:
                             u = u[np.argsort(late, kind="stable")]
                     mine.append(u[:p])
                 keys.append(np.concatenate(mine).astype(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "id": pa.array(ids, pa.int64()), "sketch": pa.array(sketches, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "id": pa.array(ids, pa.int64()), "sketch": pa.array(sketches, pa.binary()), "short": pa.array(short, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "doc_id long, n long, id long, sketch binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, id long, sketch binary, short binary, keys array<long>")
 
 
 def most_apart(n: int | np.ndarray, limit: tuple[int, int]) -> int | np.ndarray:
@@ -216,44 +257,45 @@ def near(pairs: DataFrame, sketches: DataFrame, limit: tuple[int, int]) -> DataF
         for b in batches:
             if not b.num_rows:
                 continue
-            bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("s_a", "s_b")]
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1)
             n = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
-            yield b.filter(pa.array(apart <= most_apart(n, limit))).select(["a", "b"])
+            yield b.filter(pa.array(apart(b.column("s_a").to_pylist(), b.column("s_b").to_pylist()) <= most_apart(n, limit))).select(["a", "b"])
 
     sizes = (F.col("n_a") * limit[1] >= F.col("n_b") * limit[0]) & (F.col("n_b") * limit[1] >= F.col("n_a") * limit[0])
     return both.where(sizes).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
+def bit_filter(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size (16 MB) that holds at least the values of a long column."""
+    place = F.shiftrightunsigned(ids.columns[0], 64 - FILTER_BITS)
+    parts = ids.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()  # 4097 of 4 KB at most
+    held = np.zeros((1 << FILTER_BITS) // 8 + 4096, np.uint8)
+    for r in parts:
+        held[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return held
+
+
+def may_hold(held: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids the filter may hold. Places count from 1 within Spark's buckets of 32768; place 0 has a bucket of its own."""
+    p = (ids.astype(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    bucket, bit = np.where(p > 0, 1 + (p - 1) // 32768, 0), np.where(p > 0, (p - 1) % 32768, 0)
+    return (held[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8)) & 1 == 1
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, limit: tuple[int, int]) -> DataFrame:
     """The pairs of set ids (a, b; each pair once) that link, by their whole sets. Only sets that pass a filter of fixed size, made from the pairs, are gathered."""
     spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    place = F.shiftrightunsigned("id", 64 - FILTER_BITS)
-    parts = ids.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()  # 16 MB at most
-    wanted = np.zeros((1 << FILTER_BITS) // 8 + 4096, np.uint8)
-    for r in parts:
-        wanted[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    # buckets count from 1, and hold the places from 1 on
-    sent = spark.sparkContext.broadcast(wanted)
+    sent = spark.sparkContext.broadcast(bit_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = sent.value
-        for b in slices(batches):
-            found, sets = [], []
-            for u in shingle_sets(b, k):
-                if len(u):
-                    i = set_id(u)
-                    p = (i & 0xFFFFFFFFFFFFFFFF) >> (64 - FILTER_BITS)
-                    bucket, bit = (0, 0) if not p else ((p - 1) // 32768, (p - 1) % 32768)
-                    if not p or filled[bucket * 4096 + bit // 8] >> (bit % 8) & 1:
-                        found.append(i)
-                        sets.append(u.astype(np.int64))
-            if found:
-                yield pa.RecordBatch.from_pydict({"id": pa.array(found, pa.int64()), "set": pa.array(sets, pa.list_(pa.int64()))})
-
+        for b in slices(batches, most=SLICE):
+            sets = [u for u in shingle_sets(b, k) if len(u)]
+            ids = np.array([set_id(u) for u in sets], np.int64)
+            wanted = np.flatnonzero(may_hold(sent.value, ids))
+            if len(wanted):
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[wanted], pa.int64()), "set": pa.array([sets[i].astype(np.int64) for i in wanted], pa.list_(pa.int64()))})
+
+    # one shuffle of the sets serves both joins
     sets = docs.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
-    sets = written(sets.join(ids.distinct(), "id", "left_semi"), "pair-sets")
     both = pairs.join(sets.toDF("a", "set_a").hint("merge"), "a").join(sets.toDF("b", "set_b").hint("merge"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.where((limit[0] + limit[1]) * shared >= limit[0] * (F.size("set_a") + F.size("set_b"))).select("a", "b")
@@ -274,6 +316,16 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError("labels haven't settled")
 
 
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (id, root) with further links: only the links between different roots count, each once."""
+    known = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
+    ends = links.join(known[0].hint("merge"), "a", "left").join(known[1].hint("merge"), "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y"))
+    ends = written(ends, "linked-roots")
+    joined = components(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()).toDF("root", "beyond")
+    rows = roots.union(ends.select("a", "x")).union(ends.select("b", "y")).distinct()
+    return written(rows.join(joined.hint("merge"), "root", "left").select("id", F.coalesce("beyond", "root").alias("root")), "roots", free=True)
+
+
 def pairs_of_blocks(limit: tuple[int, int]):
     """For Arrow batches sorted by key, i and j: the pairs of each group whose components differ and whose sizes and sketches don't rule out a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +333,12 @@ def pairs_of_blocks(limit: tuple[int, int]):
 
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
             column = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "id", "root", "n", "own")}
-            bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+            sketches = t.column("short").to_pylist()
+            bits = np.zeros((t.num_rows, LEAST_BITS // 64), np.uint64)
+            sizes = np.array([len(x) for x in sketches])
+            for size in np.unique(sizes).tolist():
+                mine = np.flatnonzero(sizes == size)
+                bits[mine] = folded([sketches[i] for i in mine], LEAST_BITS // 8)
             new = np.ones(t.num_rows, bool)
             new[1:] = (column["key"][1:] != column["key"][:-1]) | (column["i"][1:] != column["i"][:-1]) | (column["j"][1:] != column["j"][:-1])
             group = np.cumsum(new)
@@ -296,6 +353,8 @@ def pairs_of_blocks(limit: tuple[int, int]):
                 ok = np.flatnonzero(cross & sizes & (column["root"][at] != column["root"][z]))
                 x, y = at[ok], z[ok]
                 close = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= most_apart(column["n"][x] + column["n"][y], limit)
+                x, y = x[close], y[close]
+                close = apart([sketches[i] for i in x], [sketches[i] for i in y]) <= most_apart(column["n"][x] + column["n"][y], limit)
                 x, y = column["id"][x[close]], column["id"][y[close]]
                 if len(x):
                     yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
@@ -325,27 +384,50 @@ def join(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) -> tup
     table = written(signatures(docs, k, limit), "signatures")
     linkable = table.where("doc_id is not null and n > 0")
     entries = linkable.select("id", F.explode("keys").alias("key"))
-    ends = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    shared = written(entries.join(ends.hint("merge"), "key"), "list-entries")
+    ends = written(entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high"), "shared-keys", free=True)
+    alone = ends.where((F.col("m") == 2) & sizes_can_link("low", "high", limit)).select(F.col("low").alias("a"), F.col("high").alias("b"))
+    ends = ends.where("m > 2")
+    sent = spark.sparkContext.broadcast(bit_filter(ends.select("key")))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("keys")
+            keys = lists.flatten().to_numpy()
+            ids = np.repeat(b.column("id").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            ok = may_hold(sent.value, keys)
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[ok], pa.int64()), "key": pa.array(keys[ok], pa.int64())})
+
+    few = linkable.select("id", "keys").mapInArrow(likely, "id long, key long")
+    shared = written(few.join(ends.select("key").hint("merge"), "key").distinct(), "list-entries", free=True)
     sketches = linkable.select("id", "n", "sketch").dropDuplicates(["id"])
-    # first every set with the two ends of its lists
-    pair = lambda end: shared.where(F.col("id") != F.col(end)).select(F.least("id", end).alias("a"), F.greatest("id", end).alias("b"))
-    pairs = written(near(pair("low").union(pair("high")).distinct(), sketches, limit), "pairs")
-    first = written(verified(pairs, docs, k, limit), "first-links")
-    roots = components(first)
+    roots = spark.createDataFrame([], "id long, root long")  # of sets with links
+    for k_round in range(STAR_ROUNDS):
+        rooted = shared.join(roots.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        drawn = F.struct(F.xxhash64("id", F.lit(k_round)).alias("h"), "id", "root").alias("drawn")
+        named = rooted.groupBy("key", "root").agg(F.min(drawn).alias("drawn")).groupBy("key").agg(F.min("drawn").alias("x"), F.max("drawn").alias("y")).where("x.root <> y.root")
+        partner = F.when(F.col("root") == F.col("x.root"), F.col("y.id")).otherwise(F.col("x.id")).alias("partner")
+        counted = rooted.join(named.hint("merge"), "key").select("id", partner).groupBy("id", "partner").agg(F.count(F.lit(1)).alias("lists"))
+        best = counted.groupBy("id").agg(F.max(F.struct("lists", F.xxhash64("partner", F.lit(k_round)), "partner")).getField("partner").alias("partner"))
+        pairs = best.select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).where(sizes_can_link("a", "b", limit))
+        pairs = written(near((pairs if k_round else pairs.union(alone)).distinct(), sketches, limit), "pairs", free=True)
+        more = written(verified(pairs, docs, k, limit), "links", free=True)
+        if more.isEmpty():
+            break
+        roots = extended(roots, more)
     # then, in lists with several components, all pairs from different ones
-    rooted = shared.select("key", "id").distinct().join(roots.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    rooted = written(rooted, "rooted-entries")
+    rooted = shared.join(roots.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    rooted = written(rooted, "rooted-entries", free=True)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 <> r1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.hash("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rooted.join(mixed.hint("merge"), "key").withColumn("own", own).withColumn("other", other)
-    dealt = dealt.join(sketches.hint("merge"), "id").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n", "sketch")
+    short = linkable.select("id", "n", "short").dropDuplicates(["id"])
+    dealt = dealt.join(short.hint("merge"), "id").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n", "short")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = written(dealt.mapInArrow(pairs_of_blocks(limit), "a long, b long").distinct(), "more-pairs")
-    second = written(verified(more, docs, k, limit), "second-links")
-    if not second.isEmpty():
-        roots = components(first.union(second))
+    pairs = written(near(dealt.mapInArrow(pairs_of_blocks(limit), "a long, b long").distinct(), sketches, limit), "more-pairs", free=True)
+    more = written(verified(pairs, docs, k, limit), "more-links", free=True)
+    if not more.isEmpty():
+        roots = extended(roots, more)
     return table.select("doc_id", "n", "id"), roots
 
 
@@ -360,11 +442,12 @@ def cluster(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@keeps_names
 def keep_one(docs: DataFrame, k: int = 5, limit: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of docs, with all columns, whose doc_id is its component's smallest; of repeated rows of that doc_id in a component, one. Rows with a null doc_id stay."""
     found = written(cluster(docs, k, limit), "components")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null"))
+    if not found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty():
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null"))
+    return left
