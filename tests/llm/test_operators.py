@@ -388,6 +388,38 @@ def test_quality(spark, documents, odd_texts, prose):
     assert classify(documents([]), labels).count() == 0
 
 
+def test_toxic_words_are_not_diluted(spark, documents, prose):
+    from docloom.llm.quality import classify, keep
+
+    r = random.Random(12)
+    insults = ["idiotish", "wretchful", "vermin", "moronic", "scumbag"]
+    texts = []
+    for i in range(600):
+        w = prose(r.randrange(30, 600)).split()
+        for _ in range(2 if i % 5 == 0 else 0):
+            w[r.randrange(len(w))] = r.choice(insults) + r.choice(["", "s", "ly"])
+        texts.append(" ".join(w))
+    docs = documents(texts)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(0, 600) if i < 400], "doc_id long, quality int, toxic int")
+    got = by_id(classify(docs, labels))
+    unseen = range(400, 600)
+    assert sum(got[i]["kept"] for i in unseen if i % 5 == 0) <= 2
+    assert sum(not got[i]["kept"] for i in unseen if i % 5) <= 3
+    assert {r["doc_id"] for r in keep(docs, labels).collect()} == {i for i, x in got.items() if x["kept"]}
+
+
+def test_toxic_recall_on_labels_held_back(spark):
+    from docloom.llm.quality import classify
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r["doc_id"]: r["kept"] for r in classify(docs, labels.where("doc_id % 2 = 0")).collect()}
+    held = [r for r in labels.where("doc_id % 2 = 1 and quality = 1").collect()]
+    toxic, good = ([kept[r["doc_id"]] for r in held if r["toxic"] == t] for t in (1, 0))
+    print("held-out toxic dropped", toxic.count(False), len(toxic), "good kept", sum(good), len(good))
+    assert toxic.count(False) >= 0.6 * len(toxic)
+    assert sum(good) >= 0.99 * len(good)
+
+
 def test_kth_largest_is_exact(spark):
     from docloom.llm.quality import kth_largest
 
