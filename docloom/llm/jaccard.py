@@ -17,7 +17,8 @@ First, for a few rounds, every set is paired with one
 other: each list with several components names two sets from different ones, drawn by hash, and a set's partner is the one
 from another component that most of its lists name; the pairs that link join components. Then only the lists that still hold several components are read pairwise, in blocks of BLOCK entries, and
 only pairs from different components come out whose parity sketches differ in no more places than linked sets can (the
-sketch never rules out a pair that links). Every pair is verified on the whole sets. No list is cut short.
+sketch never rules out a pair that links). Every pair is verified on the whole sets. No list is cut short. That gives join(), cluster() and
+keep_one() the components; links() and cluster_links() read all lists pairwise instead, and give every link and each document's number of links.
 
 Shingles are known by 64-bit hashes, sets by 56-bit ones with a class of their size; a set stands for all documents with it. Null and empty texts, and rows
 with a null doc_id, have no links; a null doc_id has a null component_id. Equal rows have equal results. Repeated doc_ids
@@ -376,6 +377,45 @@ def pairs_of_blocks(limit: tuple[int, int]):
     return run
 
 
+def pairwise(rooted: DataFrame, linkable: DataFrame, docs: DataFrame, k: int, limit: tuple[int, int]) -> DataFrame:
+    """The links (a, b; each once) between sets of different roots that share a list. rooted: key, id, root."""
+    sketches = linkable.select("id", "n", "sketch").dropDuplicates(["id"])
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 <> r1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.hash("id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rooted.join(mixed.hint("merge"), "key").withColumn("own", own).withColumn("other", other)
+    short = linkable.select("id", "n", "short").dropDuplicates(["id"])
+    dealt = dealt.join(short.hint("merge"), "id").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n", "short")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = written(near(dealt.mapInArrow(pairs_of_blocks(limit), "a long, b long").distinct(), sketches, limit), "more-pairs", free=True)
+    return written(verified(pairs, docs, k, limit), "more-links", free=True)
+
+
+def links(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: doc_id, n and id (of its set) of each row of docs; and a and b, every pair of different sets that link, each once. In a group of near copies the pairs grow with the square of its size."""
+    small_batches(docs.sparkSession)
+    docs = only(docs, "doc_id", "text")
+    table = written(signatures(docs, k, limit), "signatures")
+    linkable = table.where("doc_id is not null and n > 0")
+    entries = linkable.select("id", F.explode("keys").alias("key")).distinct()
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    # every set is a component of its own, so no pair is left out
+    rooted = written(entries.join(shared.hint("merge"), "key").select("key", "id", F.col("id").alias("root")), "list-entries", free=True)
+    return table.select("doc_id", "n", "id"), pairwise(rooted, linkable, docs, k, limit)
+
+
+def cluster_links(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) -> DataFrame:
+    """The columns of cluster(), from all links, and n_links: how many other rows link to the row (those with an equal set among them)."""
+    table, found = links(docs, k, limit)
+    roots = extended(docs.sparkSession.createDataFrame([], "id long, root long"), found)
+    many = table.where("doc_id is not null and n > 0").groupBy("id").agg(F.count(F.lit(1)).alias("m"))
+    beside = found.union(found.select("b", "a")).toDF("id", "other").join(many.toDF("other", "m_other").hint("merge"), "other").groupBy("id").agg(F.sum("m_other").alias("beside"))
+    counted = many.join(beside.hint("merge"), "id", "left").select("id", (F.col("m") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = clustered(table, roots, table.columns).join(counted.hint("merge"), "id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.when(linked, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+
+
 def join(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) -> tuple[DataFrame, DataFrame]:
     """Two written tables: doc_id, n and id (of its set) of each row of docs; id and root (of its component) of all sets with links to other sets."""
     spark = docs.sparkSession
@@ -416,30 +456,26 @@ def join(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) -> tup
         roots = extended(roots, more)
     # then, in lists with several components, all pairs from different ones
     rooted = shared.join(roots.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    rooted = written(rooted, "rooted-entries", free=True)
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 <> r1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.hash("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rooted.join(mixed.hint("merge"), "key").withColumn("own", own).withColumn("other", other)
-    short = linkable.select("id", "n", "short").dropDuplicates(["id"])
-    dealt = dealt.join(short.hint("merge"), "id").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n", "short")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = written(near(dealt.mapInArrow(pairs_of_blocks(limit), "a long, b long").distinct(), sketches, limit), "more-pairs", free=True)
-    more = written(verified(pairs, docs, k, limit), "more-links", free=True)
+    more = pairwise(written(rooted, "rooted-entries", free=True), linkable, docs, k, limit)
     if not more.isEmpty():
         roots = extended(roots, more)
     return table.select("doc_id", "n", "id"), roots
 
 
-def cluster(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of docs."""
-    table, roots = join(docs, k, limit)
+def clustered(table: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns of the table, and component_id (the smallest doc_id that links reach)."""
     linked = table.where("doc_id is not null and n > 0")
     rooted = linked.select("doc_id", "id").join(roots.hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "doc_id")
     heads = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_set = rooted.groupBy("id", "root").agg(F.lit(1).alias("one")).join(heads, "root").select("id", "component_id")
     out = table.join(of_set.hint("merge"), "id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select(*columns, F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def cluster(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of docs."""
+    table, roots = join(docs, k, limit)
+    return clustered(table, roots, ["doc_id", "n"]).withColumnRenamed("n", "n_shingles")
 
 
 @keeps_names

@@ -28,9 +28,9 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docloom.llm.jaccard import cluster
+    from docloom.llm.jaccard import cluster_links
 
-    return cluster(read(spark, sf_dir, "documents"))
+    return cluster_links(read(spark, sf_dir, "documents"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
