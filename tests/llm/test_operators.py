@@ -153,6 +153,15 @@ def test_rules_and_propagation(spark):
     assert judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_distrust_goes_the_whole_way(spark):
+    from docloom.llm.urls import judge
+
+    hosts = [f"h{i}.test" for i in range(17)] + ["spam-farm.test"]
+    rows = [(i, f"http://{h}/", f'<a href="http://{n}/">x</a>') for i, (h, n) in enumerate(zip(hosts, hosts[1:]))]
+    got = by_id(judge(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert {r["verdict"] for r in got.values()} == {"block"}
+
+
 # --- 4: Jaccard join
 
 def components_by_force(texts, k, limit):
