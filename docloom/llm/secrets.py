@@ -2,7 +2,7 @@
 
 The field's tokens are maximal runs of `[A-Za-z0-9+/_.-]` (dots and dashes at the end don't count), and single other
 characters that are no white space. A tag says secret begin, inside or outside. Only candidates (LEAST or more characters,
-with a digit) can be begin or inside; all others are outside whatever their weights, so a text falls into runs of adjacent
+with a digit; and near a hint word like `password`, tokens of any length and characters) can be begin or inside; all others are outside whatever their weights, so a text falls into runs of adjacent
 candidates between tokens that are outside for certain, and decoding each run by Viterbi decodes the text exactly.
 Features: the token's shape (length, character classes, hex, digits, variety, known prefixes), the words and characters
 beside it, and its file (what share of its characters are digits, how many candidates, whether a word like `password` is
@@ -41,6 +41,9 @@ WORD = re.compile(r"[A-Za-z]+")
 DIGIT = re.compile(r"[0-9]")
 HINTS = frozenset("password passwd passphrase pwd secret token key apikey api access auth bearer credential credentials private signature".split())
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "sk_live_", "pk_live_", "xox", "eyJ", "AIza", "npm_")
+#: Hint words as they stand in texts, and the tokens of any characters that are candidates in the NEAR characters after one.
+HINT = re.compile(r"(?<![A-Za-z])(?:" + "|".join(sorted(HINTS)) + r")s?(?![A-Za-z])", re.I)
+ANY, NEAR = re.compile(r"""[^\s"'`=:,;<>()\[\]{}|]+"""), 32
 OUT, BEGIN, INSIDE = 0, 1, 2
 
 
@@ -60,15 +63,24 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """The spans that may be secrets: long tokens with a digit, without dots and dashes at the end."""
+    """The spans that may be secrets: long tokens with a digit, without dots and dashes at the end; and whatever stands, between white space and delimiters, in the NEAR characters after a hint word, of any length and characters."""
     out = []
+    for h in HINT.finditer(text):
+        for m in ANY.finditer(text, h.end(), min(len(text), h.end() + NEAR)):
+            end = ANY.match(text, m.start()).end()  # a token may go on beyond the window
+            end = m.start() + len(text[m.start() : end].rstrip(".?-"))
+            if end > m.start() and (not out or m.start() >= out[-1][1]):
+                out.append((m.start(), end))
+    close, at = list(out), 0
     for m in LONG.finditer(text):
         token = m[0]
         if not token.isalpha() and DIGIT.search(token):
             end = m.start() + len(token.rstrip(".-"))
-            if end - m.start() >= LEAST:
+            while at < len(close) and close[at][1] <= m.start():
+                at += 1
+            if end - m.start() >= LEAST and not (at < len(close) and close[at][0] < end):
                 out.append((m.start(), end))
-    return out
+    return sorted(out)
 
 
 def shape(token: str) -> list[str]:
@@ -82,6 +94,11 @@ def shape(token: str) -> list[str]:
         out.append(f"hex:{n >= 16}")
     if digits == n:
         out.append("number")
+    if n < 4 * LEAST:  # a plain word: lower case behind its first letter
+        out.append(f"plain:{token[1:].islower() and token.isalpha()}{n >= LEAST}")
+        inner = sum(map(str.isupper, token[1:]))
+        out.append(f"inner:{min(3, inner) if lower else 0}")
+        out.append(f"odd:{any(not c.isalnum() and c not in './_+-' for c in token)}{bool(digits)}")
     for c in "./-_+":
         if c in token:
             out.append(f"has:{c}")
@@ -100,6 +117,7 @@ def features(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
         after = text[b : b + 24]
         marks = before.rstrip(" ")[-2:].replace(" ", "")
         near = [w.lower() for w in WORD.findall(before)[-3:]]
+        link = near[-1] if near and near[-1] in ("is", "was", "be", "to", "of") else ""
         hint = [w for w in near if w in HINTS]
         f = shape(text[a:b]) + file + ["bias", f"mark:{marks[-1:] if marks[-1:] and marks[-1:] in '=:\"(@#<>/' else ''}", f"hint:{bool(hint)}", f"next:{after[:1] if after[:1] in '@\")>;,' else ''}"]
         f += [f"near:{w}" for w in hint]
@@ -107,6 +125,8 @@ def features(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
             f.append("hint+mark")
         if hint:
             f.append(f"hint+long:{b - a >= 12}")
+            f += [f"hint+{x}" for x in f if x.startswith(("plain:", "inner:", "odd:"))]
+            f.append(f"link:{link}")
         out.append(f)
     return out
 
@@ -256,6 +276,15 @@ def made_up(seed: int = 5, many: int = 400) -> list[tuple[str, list[tuple[int, i
         line("at ", f"www.{pick(string.ascii_lowercase, 8)}.com/{pick(string.ascii_lowercase, 5)}/{r.randrange(1000)}", " now", False)
         line("order ", f"{pick(string.ascii_uppercase, 2)}-{r.randrange(10**6, 10**8)}", " came", False)
         line("the " + r.choice(["key point ", "token ring "]), f"{pick(string.ascii_lowercase, 7)}{r.randrange(10)}", " here", False)
+        camel = "".join(pick(string.ascii_lowercase, r.randrange(4, 9)).capitalize() for _ in range(r.randrange(2, 5)))
+        short = pick(string.ascii_lowercase, r.randrange(4, 8)) + str(r.randrange(1, 1000))
+        symbols = pick(string.ascii_letters, 2) + r.choice("@!#$%&*") + pick(mixed, r.randrange(4, 8)) + r.choice("@!#$%&*") + pick(mixed, 3)
+        letters = pick(string.ascii_letters, r.randrange(16, 40))
+        for value in (camel, short, symbols, letters):
+            line(r.choice(["the password is ", "my secret: ", "Authorization: Bearer ", "the access key is ", "use credential ", "password was ", "passphrase: "]), value, r.choice(["", " and so on", "\n", " now", " for the mail"]), True)
+        plain = [pick(string.ascii_lowercase, r.randrange(2, 12)) for _ in range(5)]
+        line(r.choice(["the password is ", "the key to ", "a secret ", "access to the ", "bearer of ", "my token was ", "private "]), " ".join(plain), r.choice([".", "", " in 2020", " by Anna"]), False)
+        line(r.choice(["the private ", "the key ", "password "]), pick(string.ascii_lowercase, 6).capitalize(), " said", False)
         line("", f"{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}", " answered", False)
         line("card ", f"{pick(string.digits, 4)}-{pick(string.digits, 4)}", " number", False)
     return out

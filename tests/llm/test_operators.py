@@ -282,6 +282,17 @@ def test_secret_spans(documents, odd_texts):
     assert scan(documents([])).count() == 0
 
 
+def test_secrets_without_digits_short_and_with_symbols(documents):
+    from docloom.llm.secrets import redact
+
+    found = ["CorrectHorseBatteryStaple", "hunter2", "P@ssw0rd!x#Zq", "QwHzTrKpLmNvYbXcRdJs"]
+    plain = ["the password is required for all users", "the secret of the old house", "a key point of the talk", "access to the private garden"]
+    texts = [f"we know the password is {x} for now" for x in found] + plain
+    rows = by_id(redact(documents(texts)))
+    assert [x in rows[i]["text"] for i, x in enumerate(found)] == [False] * len(found)
+    assert [rows[len(found) + i]["text"] for i in range(len(plain))] == plain
+
+
 def test_viterbi_is_exact():
     import numpy as np
 
