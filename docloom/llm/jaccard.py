@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.llm._shared import NOT_SPACE, hashed, keeps_names, mix, only, slices, small_batches, utf8, words, written
 
@@ -478,12 +479,28 @@ def cluster(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) ->
     return clustered(table, roots, ["doc_id", "n"]).withColumnRenamed("n", "n_shingles")
 
 
+def with_set(docs: DataFrame, k: int) -> DataFrame:
+    """The rows of docs, and __set, the id of each row's set (null for an empty one)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, most=SLICE):
+            ids = [set_id(u) if len(u) else None for u in shingle_sets(b, k)]
+            yield b.append_column("__set", pa.array(ids, pa.int64()))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__set", LongType())]))
+
+
 @keeps_names
 def keep_one(docs: DataFrame, k: int = 5, limit: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of docs, with all columns, whose doc_id is its component's smallest; of repeated rows of that doc_id in a component, one. Rows with a null doc_id stay."""
-    found = written(cluster(docs, k, limit), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    if not found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null"))
-    return left
+    """The rows of docs, with all columns: of each component one row, of its smallest doc_id (of several sets with that doc_id, the one with the smallest id). Rows with a null doc_id or an empty set stay."""
+    table, roots = join(docs, k, limit)
+    found = written(clustered(table, roots, ["doc_id", "n", "id"]), "components")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = found.where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    # a doc_id may have several texts, so the set decides, too; the sets of a doc_id may be of several components
+    in_root = table.where("doc_id is not null and n > 0").select("doc_id", "id").join(roots.hint("merge"), "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
+    heads = in_root.groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("head")).select(F.col("head.doc_id").alias("doc_id"), F.col("head.id").alias("__set"))
+    rows = with_set(docs, k)
+    loose = F.col("doc_id").isNull() | F.col("__set").isNull()
+    heads = rows.where(~loose).join(heads.hint("merge"), ["doc_id", "__set"], "left_semi").dropDuplicates(["doc_id", "__set"])
+    return heads.select(*docs.columns).unionByName(rows.where(loose).select(*docs.columns))

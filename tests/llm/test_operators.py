@@ -236,6 +236,17 @@ def test_jaccard_nulls_and_nothing(documents):
     assert sorted(r["doc_id"] or -1 for r in keep_one(docs).collect()) == [-1, 1, 2, 3]
 
 
+def test_keep_one_tells_texts_of_one_id_apart(documents):
+    from docloom.llm.jaccard import keep_one
+
+    copy, near = "a b c d e f g h i j k l", "a b c d e f g h i j k l m"
+    docs = documents([copy, copy, "another text that stands alone here", "p " + near, near, "", ""], [1, 2, 2, 3, 3, 4, 4])
+    got = sorted((r["doc_id"], r["text"]) for r in keep_one(docs, 5, (80, 100)).collect())
+    assert got == [(1, copy), (2, "another text that stands alone here"), (4, ""), (4, "")]
+    alone = documents([near, "p " + near], [3, 3])
+    assert keep_one(alone, 5, (80, 100)).count() == 1
+
+
 def test_every_linking_light_pair_shares_a_key():
     import numpy as np
 
