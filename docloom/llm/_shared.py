@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: An operator handles texts in slices of about so many bytes at a time; one longer text is a slice by itself.
 SLICE_BYTES = 4 << 20
+#: Bytes that are hashed at a time.
+HASH_BYTES = 1 << 18
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -44,6 +46,7 @@ def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.docloom_folder = path
     if free:
         del df
         gc.collect()
@@ -51,6 +54,14 @@ def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables that written() returned and that no later result reads."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.docloom_folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """About `most` rows of df, all of them if there are no more: those whose key's hash is below the share that they make up. No task hands on more than its own share."""
     n = df.count()
@@ -129,14 +140,8 @@ with np.errstate(over="ignore"):
     BYTE_VALUES = mix(LOWER.astype(np.uint64) + np.uint64(1))
     _P = 0x9E3779B97F4A7C15 | 1
     _INV_P = pow(_P, -1, 1 << 64)
-    _powers: dict[str, np.ndarray] = {}
-
-    def _power(base: int, n: int, name: str) -> np.ndarray:
-        if name not in _powers or len(_powers[name]) < n:
-            x = np.full(max(n, 1 << 20), base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.cumprod(x, dtype=np.uint64)
-        return _powers[name][:n]
+    #: Powers of the base and of its inverse, for a chunk of bytes.
+    POWERS, INVERSES = (np.cumprod(np.array([1, *[base] * HASH_BYTES], np.uint64), dtype=np.uint64) for base in (_P, _INV_P))
 
     def words(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First byte, end and row of each word: maximal runs of bytes for which is_word holds; no word crosses rows."""
@@ -156,12 +161,26 @@ with np.errstate(over="ignore"):
         return s, e, np.searchsorted(offsets, s, side="right") - 1
 
     def hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-        """A 64-bit hash of each raw[start:end]; the same bytes have the same hash anywhere."""
-        n = len(raw)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[raw] * _power(_P, n, "p"), out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _power(_INV_P, n + 1, "inv")[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """A 64-bit hash of each raw[start:end] (in order, none inside another); the same bytes have the same hash anywhere. Memory is bounded: HASH_BYTES are handled at a time."""
+        out = np.empty(len(starts), np.uint64)
+        first = 0
+        while first < len(starts):
+            a = int(starts[first])
+            last = int(np.searchsorted(ends, a + HASH_BYTES, side="right"))
+            if last <= first:  # one that is longer
+                total = 0
+                for k, at in enumerate(range(a, int(ends[first]), HASH_BYTES)):
+                    part = values[raw[at : min(at + HASH_BYTES, int(ends[first]))]]
+                    total += int((part * POWERS[: len(part)]).sum(dtype=np.uint64)) * pow(_P, k * HASH_BYTES, 1 << 64)
+                out[first] = total & 0xFFFFFFFFFFFFFFFF
+                first += 1
+                continue
+            some = slice(first, last)
+            sums = np.zeros(int(ends[last - 1]) - a + 1, np.uint64)
+            np.cumsum(values[raw[a : a + len(sums) - 1]] * POWERS[: len(sums) - 1], out=sums[1:])
+            out[some] = (sums[ends[some] - a] - sums[starts[some] - a]) * INVERSES[starts[some] - a]
+            first = last
+        return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def table(members) -> np.ndarray:

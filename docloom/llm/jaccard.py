@@ -7,57 +7,62 @@ are either light or heavy, by size:
 * light sets enumerate fixed-size subsets: two sets of sizes s and t that link share a subset of as many elements as their
   least overlap, so each emits a key for each such subset of its own, for each size t that a light partner may have;
 * heavy sets (and light ones that may have a heavy partner) go into inverted lists: of a set's shingles, in one order for
-  the whole corpus (frequent ones last, else by hash), a prefix so long that two sets that link share an entry.
+  the whole corpus (those in often used buckets last, else by hash), a prefix so long that two sets that link share an entry.
 
 The boundary is the largest size up to which enumerating costs no more keys than the list entries that a set of that size
-makes and meets; the mean length of a list comes from counts over all documents.
-
-Lists and subset keys are read in two steps, both complete together. A list of two entries is one pair, for the first round.
-First, for a few rounds, every set is paired with one
-other: each list with several components names two sets from different ones, drawn by hash, and a set's partner is the one
-from another component that most of its lists name; the pairs that link join components. Then only the lists that still hold several components are read pairwise, in blocks of BLOCK entries, and
-only pairs from different components come out whose parity sketches differ in no more places than linked sets can (the
-sketch never rules out a pair that links). Every pair is verified on the whole sets. No list is cut short. That gives join(), cluster() and
-keep_one() the components; links() and cluster_links() read all lists pairwise instead, and give every link and each document's number of links.
-
-Shingles are known by 64-bit hashes, sets by 56-bit ones with a class of their size; a set stands for all documents with it. Null and empty texts, and rows
-with a null doc_id, have no links; a null doc_id has a null component_id. Equal rows have equal results. Repeated doc_ids
+makes and meets; the mean length of a list comes from counts of all shingles of all documents, in BUCKETS buckets.
+
+The lists and subset keys aren't read pair by pair. The set with the least id in a list is its head, and the list's sets
+are members of the head's neighbourhood, once for all its lists: rows in proportion to the entries, not to the pairs. Two
+sets that link are together in at least one neighbourhood. Neighbourhoods are searched in three steps, the large ones in
+blocks of bounded size, each block with each other:
+
+1. by parity sketches: a member stays if it has another beside it whose sketch differs in no more places than linked sets
+   can (the sketch never rules out a pair that links);
+2. the same among those that stay, but a pair counts only in the first of its common neighbourhoods;
+3. by the whole sets: shared elements are counted by products of incidence matrices, and each pair that links is counted for
+   both its sets. A task gives a row for each linked set of a block, with its number of links and its least partner reached.
+
+No list is cut short, and no pair of sets is a row. links() gives the pairs themselves, a row each, for those who want them.
+
+Shingles are known by 64-bit hashes, sets by 128-bit ones; a set stands for all documents with it. Null and empty texts, and
+rows with a null doc_id, have no links; a null doc_id has a null component_id. Equal rows have equal results. Repeated doc_ids
 with different texts are different documents. An empty table gives no rows. Extra columns are ignored, or carried along by
 keep_one().
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb, log
+from math import comb, floor, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from docloom.llm._shared import NOT_SPACE, hashed, keeps_names, mix, only, slices, small_batches, utf8, words, written
+from docloom.llm._shared import NOT_SPACE, discard, hashed, keeps_names, mix, only, slices, small_batches, utf8, words, written
 
-#: A shingle is frequent from this share of all documents on: the broadcast list of frequent ones has at most
-#: mean set size / FREQUENT entries.
-FREQUENT = 1 / 4000
-#: A task reports a shingle that so many of its documents hold, of about CHUNK shingles at a time.
-SEEN, CHUNK = 2, 4_000_000
+#: Buckets (as a power of two) in which shingles are counted, and how many counts go in one row.
+BUCKETS, BUCKETS_A_ROW = 18, 1 << 12
 #: Sets beyond this size are never light: their subsets are too many.
 LARGEST_LIGHT = 40
-#: Entries of a list that are compared pairwise at a time.
-BLOCK = 2048
-#: Bits of a sketch: the power of two from four times a set's size on, between the least and the most; list entries carry it
-#: folded, to the power of two from twice the size on, between SHORT_BITS and the most.
-LEAST_BITS, SHORT_BITS, MOST_BITS = 512, 2048, 1 << 16
-#: The last bits of a set's id say its size, in steps of this factor.
-CLASS_BITS, CLASS_FACTOR = 8, 1.08
-#: Bytes of text that are handled at a time.
-SLICE = 1 << 20
-#: Rounds of pairing every set with one other before lists are read pairwise.
-STAR_ROUNDS = 3
+#: Bits of a sketch: the power of two from a set's size on, between these.
+LEAST_BITS, MOST_BITS = 512, 1 << 16
+#: The last bits of a set's id say the class of its size: sets that link are of one class or of neighbouring ones.
+CLASS_BITS = 8
+#: A block of a neighbourhood has about so many sets and bytes of sketches, or so many whole sets and elements, at most.
+BLOCK_SKETCHES, BLOCK_BYTES = 4096, 1 << 22
+BLOCK_SETS, BLOCK_ELEMENTS = 1024, 1 << 19
+#: Columns of an incidence matrix that are multiplied at a time, and pairs up to which sets are compared one by one.
+COLUMNS, FEW_PAIRS = 2048, 24
+#: Rows of small groups that are handled together.
+TOGETHER = 8192
+#: Bytes of text that are handled at a time; distinct sets that a task remembers.
+SLICE, REMEMBERED = 1 << 20, 1 << 18
 #: Bits (as a power of two) of the filters that say which keys are shared and which sets a verification needs.
 FILTER_BITS = 27
 ROUNDS = 60
@@ -88,6 +93,11 @@ def boundary(mean_list: float, limit: tuple[int, int]) -> int:
     return x
 
 
+def size_class(n: int, limit: tuple[int, int]) -> int:
+    """Classes of sizes a little wider than the ratio of two sizes that link, so that these differ by one class at most."""
+    return min((1 << CLASS_BITS) - 1, floor(log(n) / (1.001 * max(1e-3, log(limit[1] / limit[0]))))) if n else 0
+
+
 def shingle_sets(b: pa.RecordBatch, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row's text."""
     raw, offsets = utf8(b.column("text"))
@@ -118,22 +128,22 @@ def shingle_sets(b: pa.RecordBatch, k: int) -> list[np.ndarray]:
     return out
 
 
-def set_id(u: np.ndarray) -> int:
+def set_hash(u: np.ndarray) -> bytes:
+    """128 bits that tell sets apart."""
     with np.errstate(over="ignore"):
-        h = mix(np.array([u.sum(dtype=np.uint64) + np.uint64(len(u))]))[0]
-    size = min((1 << CLASS_BITS) - 1, int(log(len(u)) / log(CLASS_FACTOR))) if len(u) else 0
-    return int(((h >> np.uint64(CLASS_BITS) << np.uint64(CLASS_BITS)) | np.uint64(size)).astype(np.int64))
+        sums = np.array([u.sum(dtype=np.uint64), mix(u).sum(dtype=np.uint64)]) + np.uint64(len(u))
+    return mix(sums).tobytes()
 
 
-def sizes_can_link(a: str, b: str, limit: tuple[int, int]):
-    """Whether the size classes of two ids allow a link."""
-    size = lambda c: F.col(c).bitwiseAND((1 << CLASS_BITS) - 1)
-    return F.abs(size(a) - size(b)) <= 1 + ceil(log(limit[1] / limit[0]) / log(CLASS_FACTOR))
+def set_id(of: bytes, n: int, limit: tuple[int, int]) -> int:
+    """Bits of the set's hash, and its size class."""
+    h = int.from_bytes(of[:8], "little", signed=True)
+    return h >> CLASS_BITS << CLASS_BITS | size_class(n, limit)
 
 
 def sketch(u: np.ndarray) -> bytes:
     """The parity of the number of elements in each of a number of cells, by the low bits of the hash."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(u) - 1).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(u) - 1).bit_length()))
     cell = (u & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(bool)).tobytes()
 
@@ -147,15 +157,28 @@ def folded(sketches: list[bytes], size: int) -> np.ndarray:
     return np.ascontiguousarray(out).view(np.uint64)
 
 
-def apart(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
-    """In how many cells two sketches differ, at the size of the shorter: never more than their sets' elements that the other lacks."""
-    sizes = np.array([(len(x), len(y)) for x, y in zip(xs, ys, strict=True)]).reshape(-1, 2)
-    out = np.zeros(len(xs), np.int64)
-    for p, q in np.unique(sizes, axis=0).tolist():
-        at = np.flatnonzero((sizes[:, 0] == p) & (sizes[:, 1] == q))
-        a, b = (folded([z[i] for i in at], min(p, q)) for z in (xs, ys))
-        out[at] = np.bitwise_count(a ^ b).sum(axis=1)
-    return out
+class Sketches:
+    """Sketches of several lengths, two of which are compared at the shorter one's."""
+
+    def __init__(self, sketches: list[bytes]) -> None:
+        self.size = np.array([len(x) for x in sketches], np.int64)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(self.size).tolist():
+            mine = [np.flatnonzero(self.size == longer) for longer in np.unique(self.size[self.size >= size])]
+            rows = np.concatenate([folded([sketches[k] for k in of], size) for of in mine])
+            place = np.full(len(sketches), -1)
+            place[np.concatenate(mine)] = np.arange(len(rows))
+            self.at[size] = rows, place
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many cells the sketches x and y differ: never more than their sets' elements that the other lacks."""
+        size = np.minimum(self.size[x], self.size[y])
+        out = np.zeros(len(x), np.int64)
+        for bits, (rows, place) in self.at.items():
+            mine = np.flatnonzero(size == bits)
+            if len(mine):
+                out[mine] = np.bitwise_count(rows[place[x[mine]]] ^ rows[place[y[mine]]]).sum(axis=1)
+        return out
 
 
 def light_keys(u: np.ndarray, largest: int, limit: tuple[int, int]) -> list[int]:
@@ -172,78 +195,74 @@ def light_keys(u: np.ndarray, largest: int, limit: tuple[int, int]) -> list[int]
     return out
 
 
-def corpus_counts(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Frequent shingles (sorted hashes) and their levels, and the mean number of other documents in a shingle's list."""
+def corpus_counts(docs: DataFrame, k: int) -> np.ndarray:
+    """How many shingles of all documents' sets fall into each bucket."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, rows, total = [], 0, 0, 0
+        sums = np.zeros(1 << BUCKETS, np.int64)
+        for b in slices(batches, most=SLICE):
+            every = np.concatenate(shingle_sets(b, k))
+            sums += np.bincount((every >> np.uint64(64 - BUCKETS)).astype(np.int64), minlength=1 << BUCKETS)
+        parts = sums.reshape(-1, BUCKETS_A_ROW)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "counts": pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, counts in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.int64)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
-        def seen() -> pa.RecordBatch:
-            every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            heads = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-            n = np.diff(np.append(heads, len(every)))
-            many = n >= SEEN
-            return pa.RecordBatch.from_pydict({"kind": pa.array(["shingle"] * int(many.sum()), pa.string()), "hash": pa.array(every[heads[many]].astype(np.int64), pa.int64()), "n": pa.array(n[many], pa.int64())})
+    schema = "part int, counts binary"
+    out = np.zeros((1 << BUCKETS) // BUCKETS_A_ROW * BUCKETS_A_ROW, np.int64).reshape(-1, BUCKETS_A_ROW)
+    for r in docs.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # 2 MB in all
+        out[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    return out.ravel()
 
-        for b in slices(batches, most=SLICE):
-            sets = shingle_sets(b, k)
-            rows += sum(len(u) > 0 for u in sets)
-            held += sets
-            more = sum(map(len, sets))
-            size, total = size + more, total + more
-            if size >= CHUNK:
-                yield seen()
-                held, size = [], 0
-        yield seen()
-        yield pa.RecordBatch.from_pydict({"kind": ["rows", "total"], "hash": pa.array([0, 0], pa.int64()), "n": pa.array([rows, total], pa.int64())})
-
-    counted = written(docs.mapInArrow(count, "kind string, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n")), "shingle-counts")
-    sums = {r[0]: r[1] for r in counted.where("kind <> 'shingle'").select("kind", "n").collect()}
-    rows, total = sums.get("rows", 0), sums.get("total", 0)
-    shingles = counted.where("kind = 'shingle'")
-    squares = shingles.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
-    # at most total / (FREQUENT * rows) shingles can be frequent
-    least = max(2 * SEEN, FREQUENT * rows)
-    got = shingles.where(F.col("n") >= least).select("hash", "n").toPandas()
-    hashes = got["hash"].to_numpy(np.int64).astype(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], np.ceil(np.log2(got["n"].to_numpy(float)[order] / least + 1)).astype(np.int64), squares / max(1, total)
+
+def order_and_mean(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """The level of each bucket (0: used no more than most; a step for each factor of the square root of two), and the mean number of other sets in a shingle's list, both from the counts."""
+    total, buckets = int(counts.sum()), len(counts)
+    if not total:
+        return np.zeros(buckets, np.uint8), 0.0
+    level = np.maximum(0, np.floor(2 * np.log2(np.maximum(counts, 1e-9) * buckets / total)))
+    # two shingles fall into one bucket by chance in a share of 1 / buckets
+    squares = (float((counts.astype(float) ** 2).sum()) - total * total / buckets) * buckets / (buckets - 1)
+    return level.astype(np.uint8), max(0.0, squares / total - 1)
 
 
 def signatures(docs: DataFrame, k: int, limit: tuple[int, int]) -> DataFrame:
-    """doc_id, n (set size), id (of the set), sketch and keys (subset keys and list entries) of each row of docs."""
-    spark = docs.sparkSession
-    frequent, level, mean_list = corpus_counts(docs, k)
-    model = spark.sparkContext.broadcast((frequent, level, boundary(mean_list, limit)))
+    """doc_id, n (set size) and set (its hash; null for an empty one) of each row of docs, and, in the first row of a task with the set, id, sketch and keys (subset keys and list entries)."""
+    level, mean_list = order_and_mean(corpus_counts(docs, k))
+    model = docs.sparkSession.sparkContext.broadcast((level, boundary(mean_list, limit)))
+
+    def keys_of(u: np.ndarray, level: np.ndarray, largest: int) -> np.ndarray:
+        mine = [np.zeros(0, np.uint64)]
+        if len(u) <= largest:
+            mine.append(mix(np.array(light_keys(u, largest, limit), np.uint64)))
+        if len(u) > largest or partner_sizes(len(u), limit)[-1] > largest:
+            late = level[(u >> np.uint64(64 - BUCKETS)).astype(np.int64)]
+            mine.append(u[np.argsort(late, kind="stable")][: prefix_length(len(u), limit)])
+        return np.unique(np.concatenate(mine)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, level, largest = model.value
+        level, largest = model.value
+        seen: set[bytes] = set()
         for b in slices(batches, most=SLICE):
-            n, ids, sketches, short, keys = [], [], [], [], []
-            for u in shingle_sets(b, k):
-                n.append(len(u))
-                ids.append(set_id(u))
-                if not len(u):
-                    sketches.append(None)
-                    short.append(None)
-                    keys.append(np.zeros(0, np.int64))
+            rows = []
+            for u, doc_id in zip(shingle_sets(b, k), b.column("doc_id").to_pylist(), strict=True):
+                of = set_hash(u) if len(u) else None
+                if of is None or doc_id is None or of in seen:
+                    rows.append((len(u), of, None, None, None))
                     continue
-                sketches.append(sketch(u))
-                short.append(folded(sketches[-1:], min(MOST_BITS, max(SHORT_BITS, 1 << (2 * len(u) - 1).bit_length())) // 8).tobytes())
-                mine = [np.zeros(0, np.uint64)]
-                if len(u) <= largest:
-                    mine.append(mix(np.array(light_keys(u, largest, limit), np.uint64)))
-                if len(u) > largest or partner_sizes(len(u), limit)[-1] > largest:
-                    p = prefix_length(len(u), limit)
-                    if len(frequent):
-                        at = np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)
-                        late = np.where(frequent[at] == u, level[at], 0)
-                        if late.any():
-                            u = u[np.argsort(late, kind="stable")]
-                    mine.append(u[:p])
-                keys.append(np.concatenate(mine).astype(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "id": pa.array(ids, pa.int64()), "sketch": pa.array(sketches, pa.binary()), "short": pa.array(short, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
-
-    return docs.mapInArrow(run, "doc_id long, n long, id long, sketch binary, short binary, keys array<long>")
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(of)
+                rows.append((len(u), of, set_id(of, len(u), limit), sketch(u), keys_of(u, level, largest)))
+            n, of, ids, sketches, keys = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "set": pa.array(of, pa.binary()), "id": pa.array(ids, pa.int64()), "sketch": pa.array(sketches, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    return docs.mapInArrow(run, "doc_id long, n long, set binary, id long, sketch binary, keys array<long>")
 
 
 def most_apart(n: int | np.ndarray, limit: tuple[int, int]) -> int | np.ndarray:
@@ -251,21 +270,6 @@ def most_apart(n: int | np.ndarray, limit: tuple[int, int]) -> int | np.ndarray:
     return n - 2 * -(-limit[0] * n // (limit[0] + limit[1]))
 
 
-def near(pairs: DataFrame, sketches: DataFrame, limit: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches don't rule out a link."""
-    both = pairs.join(sketches.toDF("a", "n_a", "s_a").hint("merge"), "a").join(sketches.toDF("b", "n_b", "s_b").hint("merge"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
-            yield b.filter(pa.array(apart(b.column("s_a").to_pylist(), b.column("s_b").to_pylist()) <= most_apart(n, limit))).select(["a", "b"])
-
-    sizes = (F.col("n_a") * limit[1] >= F.col("n_b") * limit[0]) & (F.col("n_b") * limit[1] >= F.col("n_a") * limit[0])
-    return both.where(sizes).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
-
-
 def bit_filter(ids: DataFrame) -> np.ndarray:
     """A filter of fixed size (16 MB) that holds at least the values of a long column."""
     place = F.shiftrightunsigned(ids.columns[0], 64 - FILTER_BITS)
@@ -283,224 +287,336 @@ def may_hold(held: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (held[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8)) & 1 == 1
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, limit: tuple[int, int]) -> DataFrame:
-    """The pairs of set ids (a, b; each pair once) that link, by their whole sets. Only sets that pass a filter of fixed size, made from the pairs, are gathered."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(bit_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+def memberships(sets: DataFrame) -> DataFrame:
+    """id and head, each once: the sets of each neighbourhood, but for those that no other one there is near in size. sets: id, keys."""
+    spark = sets.sparkSession
+    entries = sets.select("id", F.explode("keys").alias("key"))
+    ends = entries.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("high")).where("head <> high").select("key", "head")
+    ends = written(ends, "shared-keys", free=True)
+    sent = spark.sparkContext.broadcast(bit_filter(ends.select("key")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=SLICE):
-            sets = [u for u in shingle_sets(b, k) if len(u)]
-            ids = np.array([set_id(u) for u in sets], np.int64)
-            wanted = np.flatnonzero(may_hold(sent.value, ids))
-            if len(wanted):
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[wanted], pa.int64()), "set": pa.array([sets[i].astype(np.int64) for i in wanted], pa.list_(pa.int64()))})
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("keys")
+            keys = lists.flatten().to_numpy()
+            ids = np.repeat(b.column("id").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            ok = may_hold(sent.value, keys)
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[ok], pa.int64()), "key": pa.array(keys[ok], pa.int64())})
 
-    # one shuffle of the sets serves both joins
-    sets = docs.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
-    both = pairs.join(sets.toDF("a", "set_a").hint("merge"), "a").join(sets.toDF("b", "set_b").hint("merge"), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where((limit[0] + limit[1]) * shared >= limit[0] * (F.size("set_a") + F.size("set_b"))).select("a", "b")
+    few = sets.select("id", "keys").mapInArrow(likely, "id long, key long")
+    found = written(few.join(ends.hint("merge"), "key").select("id", "head").distinct(), "memberships", free=True)
+    sent.destroy()
+    discard(ends)
+    kind = F.col("id").bitwiseAND((1 << CLASS_BITS) - 1)
+    beside = F.explode(F.array(*(F.struct((F.col("class") + d).alias("class"), F.lit(d == 0).alias("own")) for d in (-1, 0, 1)))).alias("x")
+    counts = found.groupBy("head", kind.alias("class")).agg(F.count(F.lit(1)).alias("m"))
+    near = counts.select("head", "m", beside).groupBy("head", F.col("x.class").alias("class")).agg(F.sum("m").alias("m"), F.max("x.own").alias("own")).where("own and m > 1")
+    out = written(found.withColumn("class", kind).join(near.select("head", "class").hint("merge"), ["head", "class"]).select("id", "head"), "near-memberships", free=True)
+    discard(found)
+    return out
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id and root (the smallest id it is connected to) of all ids in links (a, b): least labels spread over the links and then jump to the label's own label, until nothing changes."""
-    both = written(links.union(links.select("b", "a")).toDF("u", "v").distinct(), "links")
-    label = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "id"), "labels")
-    for _ in range(ROUNDS):
-        beside = both.join(label.toDF("v", "beside"), "v").groupBy("u").agg(F.min("beside").alias("beside")).withColumnRenamed("u", "id")
-        spread = label.join(beside, "id").select("id", F.col("root").alias("was"), F.least("root", "beside").alias("root"))
-        jumped = spread.join(label.toDF("root", "beyond"), "root").select("id", F.least("root", "beyond").alias("root"), "was")
-        after = written(jumped, "labels")
-        label = after.select("id", "root")
-        if after.where("root <> was").isEmpty():
-            return label
-    raise RuntimeError("labels haven't settled")
+def dealt(rows: DataFrame, most_rows: int, bytes_of, most_bytes: int) -> DataFrame:
+    """rows (head, set and others) with i, j and own: a neighbourhood's sets are dealt into blocks, as many as these bounds ask for, and each pair of blocks (i, j) gets the sets of both."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / most_rows, F.sum(bytes_of) / most_bytes)).cast("int")
+    large = written(rows.groupBy("head").agg(blocks.alias("blocks")).where("blocks > 1"), "large-neighbourhoods")
+    rows = rows.join(large, "head", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("set", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
+    return rows.repartition("head", "i", "j").sortWithinPartitions("head", "i", "j", "n")
 
 
-def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots (id, root) with further links: only the links between different roots count, each once."""
-    known = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
-    ends = links.join(known[0].hint("merge"), "a", "left").join(known[1].hint("merge"), "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y"))
-    ends = written(ends, "linked-roots")
-    joined = components(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()).toDF("root", "beyond")
-    rows = roots.union(ends.select("a", "x")).union(ends.select("b", "y")).distinct()
-    return written(rows.join(joined.hint("merge"), "root", "left").select("id", F.coalesce("beyond", "root").alias("root")), "roots", free=True)
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups (head, i, j) of rows that come sorted by them, TOGETHER rows or one group at least."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) < TOGETHER:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        last = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in ("head", "i", "j")])
+        end = int(np.argmax(last))  # the last group may go on
+        if end:
+            yield t.slice(0, end)
+        held = t.slice(end).to_batches()
+    if held and sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def first_common(t: pa.Table, group: np.ndarray) -> np.ndarray:
+    """Rows of bits, one for each smaller head that several sets of a group are members of, too: two sets without a common bit meet here first."""
+    lists = t.column("heads").combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
+    row = np.repeat(np.arange(t.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+    heads = lists.flatten().to_numpy()
+    smaller = heads < t.column("head").to_numpy()[row]
+    row, heads = row[smaller], heads[smaller]
+    order = np.lexsort((heads, group[row]))
+    row, heads = row[order], heads[order]
+    g = group[row]
+    new = np.ones(len(row), bool)
+    new[1:] = (g[1:] != g[:-1]) | (heads[1:] != heads[:-1])
+    run = np.cumsum(new) - 1
+    several = (np.bincount(run, minlength=1) > 1)[run] if len(run) else np.zeros(0, bool)
+    row, g, run = row[several], g[several], run[several]
+    if not len(row):
+        return np.zeros((t.num_rows, 1), np.uint64)
+    first = np.ones(len(row), bool)
+    first[1:] = run[1:] != run[:-1]
+    nth = np.cumsum(first) - 1
+    group_at = np.ones(len(row), bool)
+    group_at[1:] = g[1:] != g[:-1]
+    bit = nth - nth[np.flatnonzero(group_at)][np.cumsum(group_at) - 1]
+    out = np.zeros((t.num_rows, int(bit.max()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(out, (row, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    return out
 
 
-def pairs_of_blocks(limit: tuple[int, int]):
-    """For Arrow batches sorted by key, i and j: the pairs of each group whose components differ and whose sizes and sketches don't rule out a link."""
+def close_pairs(t: pa.Table, sketches: Sketches, limit: tuple[int, int], masked: bool, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of each group, from blocks i and j, whose sizes and sketches don't rule out a link. masked: only where the pair meets first. once: leave out pairs of rows that both were in a pair before."""
+    column = {c: t.column(c).to_numpy() for c in ("head", "i", "j", "own", "n")}
+    n, rows = column["n"], t.num_rows
+    new = np.ones(rows, bool)
+    new[1:] = np.logical_or.reduce([column[c][1:] != column[c][:-1] for c in ("head", "i", "j")])
+    group = np.cumsum(new)
+    bits = first_common(t, group) if masked else None
+    inside = column["i"] == column["j"]
+    done = np.zeros(rows, bool)
+    at, step = np.arange(rows), 0
+    while len(at):
+        step += 1
+        at = at[at + step < rows]
+        z = at + step
+        at = at[(group[at] == group[z]) & (n[z] * limit[0] <= n[at] * limit[1])]  # sizes rise in a group
+        z = at + step
+        ok = inside[at] | (column["own"][at] != column["own"][z])
+        if once:
+            ok &= ~(done[at] & done[z])
+        x, y = at[ok], z[ok]
+        if not len(x):
+            continue
+        close = sketches.apart(x, y) <= most_apart(n[x] + n[y], limit)
+        x, y = x[close], y[close]
+        if masked and len(x):
+            meet = ~(bits[x] & bits[y]).any(axis=1)
+            x, y = x[meet], y[meet]
+        if len(x):
+            done[x] = done[y] = True
+            yield x, y
+
+
+def with_near_ones(rows: DataFrame, limit: tuple[int, int], masked: bool) -> DataFrame:
+    """set, id, n, sketch and heads: for each set the neighbourhoods in which it has a near one by sketches. rows: head and these (heads only if masked)."""
+    kept = ["head", "set", "id", "n", "sketch"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            column = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "id", "root", "n", "own")}
-            sketches = t.column("short").to_pylist()
-            bits = np.zeros((t.num_rows, LEAST_BITS // 64), np.uint64)
-            sizes = np.array([len(x) for x in sketches])
-            for size in np.unique(sizes).tolist():
-                mine = np.flatnonzero(sizes == size)
-                bits[mine] = folded([sketches[i] for i in mine], LEAST_BITS // 8)
-            new = np.ones(t.num_rows, bool)
-            new[1:] = (column["key"][1:] != column["key"][:-1]) | (column["i"][1:] != column["i"][:-1]) | (column["j"][1:] != column["j"][:-1])
-            group = np.cumsum(new)
-            at, step = np.arange(t.num_rows), 0
-            while len(at):
-                step += 1
-                at = at[at + step < t.num_rows]
-                at = at[group[at] == group[at + step]]
-                z = at + step
-                cross = (column["i"][at] == column["j"][at]) | (column["own"][at] != column["own"][z])
-                sizes = (column["n"][at] * limit[1] >= column["n"][z] * limit[0]) & (column["n"][z] * limit[1] >= column["n"][at] * limit[0])
-                ok = np.flatnonzero(cross & sizes & (column["root"][at] != column["root"][z]))
-                x, y = at[ok], z[ok]
-                close = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= most_apart(column["n"][x] + column["n"][y], limit)
-                x, y = x[close], y[close]
-                close = apart([sketches[i] for i in x], [sketches[i] for i in y]) <= most_apart(column["n"][x] + column["n"][y], limit)
-                x, y = column["id"][x[close]], column["id"][y[close]]
-                if len(x):
-                    yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        for t in whole_groups(batches):
+            near = np.zeros(t.num_rows, bool)
+            for x, y in close_pairs(t, Sketches(t.column("sketch").to_pylist()), limit, masked, once=True):
+                near[x] = near[y] = True
+            if near.any():
+                yield from t.select(kept).filter(pa.array(near)).combine_chunks().to_batches()
+
+    size = F.octet_length("sketch")
+    found = dealt(rows, BLOCK_SKETCHES, size, BLOCK_BYTES).mapInArrow(run, "head long, set binary, id long, n long, sketch binary")
+    return found.groupBy("set", "id", "n", "sketch").agg(F.sort_array(F.collect_set("head")).alias("heads"))  # a set has no more heads than keys
+
+
+def settled(count: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least row that each of so many rows reaches by the pairs."""
+    root = np.arange(count)
+    while len(x):
+        low = np.minimum(root[x], root[y])
+        before = root.copy()
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
+def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many elements the sets x and y share, for each pair: one by one if there are few, else by products of incidence matrices for sets that pairs connect."""
+    out = np.zeros(len(x), np.int64)
+    rows = np.unique(np.concatenate([x, y]))
+    root = settled(len(rows), np.searchsorted(rows, x), np.searchsorted(rows, y))
+    of = root[np.searchsorted(rows, x)]
+    order = np.argsort(of, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        if len(mine) <= FEW_PAIRS:
+            for p in mine.tolist():
+                a, b = sets[x[p]], sets[y[p]]
+                out[p] = (a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()
+            continue
+        left, at_left = np.unique(x[mine], return_inverse=True)
+        right, at_right = np.unique(y[mine], return_inverse=True)
+        every = np.unique(np.concatenate([left, right]))
+        element = np.concatenate([sets[r] for r in every])
+        holder = np.repeat(np.arange(len(every)), [len(sets[r]) for r in every])
+        by = np.argsort(element, kind="stable")
+        element, holder = element[by], holder[by]
+        new = np.ones(len(element), bool)
+        new[1:] = element[1:] != element[:-1]
+        column = np.cumsum(new) - 1
+        shared = (np.bincount(column) > 1)[column]  # elements of one set tell nothing
+        holder, column = holder[shared], column[shared]
+        rank = np.cumsum(np.concatenate([[True], column[1:] != column[:-1]])) - 1 if len(column) else column
+        sums = np.zeros((len(left), len(right)), np.float32)  # exact: sets have fewer than 2**24 elements in common here, or else:
+        if max(len(sets[r]) for r in every) >= 1 << 24:
+            sums = sums.astype(np.float64)
+        in_left, in_right = np.searchsorted(every, left), np.searchsorted(every, right)
+        for begin in range(0, int(rank[-1]) + 1 if len(rank) else 0, COLUMNS):
+            a, z = np.searchsorted(rank, [begin, begin + COLUMNS])
+            held = np.zeros((len(every), COLUMNS), sums.dtype)
+            held[holder[a:z], rank[a:z] - begin] = 1
+            sums += held[in_left] @ held[in_right].T
+        out[mine] = sums[at_left, at_right].astype(np.int64)
+    return out
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 20_000:
+
+def counted_links(rows: DataFrame, limit: tuple[int, int], pairs: bool) -> DataFrame:
+    """set, root (the least set reached in a task's group) and links (over all documents of the partners), for the sets of a group that link; or each pair of sets that link (a, b), once. rows: head, set, n, m (documents with the set), heads and elements."""
+    def linked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        offsets = t.column("elements").combine_chunks()
+        if isinstance(offsets, pa.ChunkedArray):
+            offsets = offsets.chunk(0)
+        every = offsets.flatten().to_numpy().view(np.uint64)
+        bounds = np.cumsum(np.concatenate([[0], pa.compute.list_value_length(offsets).to_numpy(zero_copy_only=False)])).astype(np.int64)
+        sets = [every[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        found = list(close_pairs(t, Sketches([sketch(u) for u in sets]), limit, masked=True, once=False))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        x, y = (np.concatenate([p[side].astype(np.int32) for p in found]) for side in (0, 1))
+        n = t.column("n").to_numpy()
+        fit = (limit[0] + limit[1]) * overlaps(sets, x, y) >= limit[0] * (n[x] + n[y])
+        return x[fit].astype(np.int64), y[fit].astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            x, y = linked(t)
+            if not len(x):
                 continue
-            held = held.combine_chunks()
-            last = [held.column(c)[-1].as_py() for c in ("key", "i", "j")]
-            same = np.logical_and.reduce([held.column(c).to_numpy() == v for c, v in zip(("key", "i", "j"), last, strict=True)])
-            end = int(np.argmax(same))  # the last group may go on
-            yield from pairs(held.slice(0, end))
-            held = held.slice(end)
-        if held is not None and held.num_rows:
-            yield from pairs(held.combine_chunks())
-
-    return run
-
-
-def pairwise(rooted: DataFrame, linkable: DataFrame, docs: DataFrame, k: int, limit: tuple[int, int]) -> DataFrame:
-    """The links (a, b; each once) between sets of different roots that share a list. rooted: key, id, root."""
-    sketches = linkable.select("id", "n", "sketch").dropDuplicates(["id"])
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 <> r1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.hash("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rooted.join(mixed.hint("merge"), "key").withColumn("own", own).withColumn("other", other)
-    short = linkable.select("id", "n", "short").dropDuplicates(["id"])
-    dealt = dealt.join(short.hint("merge"), "id").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n", "short")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = written(near(dealt.mapInArrow(pairs_of_blocks(limit), "a long, b long").distinct(), sketches, limit), "more-pairs", free=True)
-    return written(verified(pairs, docs, k, limit), "more-links", free=True)
+            of = t.column("set").to_pylist()
+            if pairs:
+                both = [(min(of[a], of[b]), max(of[a], of[b])) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in both], pa.binary()), "b": pa.array([p[1] for p in both], pa.binary())})
+                continue
+            m, root = t.column("m").to_numpy().astype(float), settled(t.num_rows, x, y)
+            links = np.bincount(x, weights=m[y], minlength=t.num_rows) + np.bincount(y, weights=m[x], minlength=t.num_rows)
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_pydict({"set": pa.array([of[r] for r in some], pa.binary()), "root": pa.array([of[root[r]] for r in some], pa.binary()), "links": pa.array(links[some].astype(np.int64), pa.int64())})
 
+    # both bounds count elements: a row has n of them
+    return dealt(rows, BLOCK_SETS, F.col("n"), BLOCK_ELEMENTS).mapInArrow(run, "a binary, b binary" if pairs else "set binary, root binary, links long")
 
-def links(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: doc_id, n and id (of its set) of each row of docs; and a and b, every pair of different sets that link, each once. In a group of near copies the pairs grow with the square of its size."""
+
+def searched(docs: DataFrame, k: int, limit: tuple[int, int], pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: doc_id, n and set of each row of docs, and what counted_links() gives."""
     small_batches(docs.sparkSession)
     docs = only(docs, "doc_id", "text")
-    table = written(signatures(docs, k, limit), "signatures")
-    linkable = table.where("doc_id is not null and n > 0")
-    entries = linkable.select("id", F.explode("keys").alias("key")).distinct()
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    # every set is a component of its own, so no pair is left out
-    rooted = written(entries.join(shared.hint("merge"), "key").select("key", "id", F.col("id").alias("root")), "list-entries", free=True)
-    return table.select("doc_id", "n", "id"), pairwise(rooted, linkable, docs, k, limit)
-
-
-def cluster_links(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) -> DataFrame:
-    """The columns of cluster(), from all links, and n_links: how many other rows link to the row (those with an equal set among them)."""
-    table, found = links(docs, k, limit)
-    roots = extended(docs.sparkSession.createDataFrame([], "id long, root long"), found)
-    many = table.where("doc_id is not null and n > 0").groupBy("id").agg(F.count(F.lit(1)).alias("m"))
-    beside = found.union(found.select("b", "a")).toDF("id", "other").join(many.toDF("other", "m_other").hint("merge"), "other").groupBy("id").agg(F.sum("m_other").alias("beside"))
-    counted = many.join(beside.hint("merge"), "id", "left").select("id", (F.col("m") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
-    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    out = clustered(table, roots, table.columns).join(counted.hint("merge"), "id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.when(linked, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    table = written(signatures(docs, k, limit), "signatures", free=True)
+    plain = written(table.select("doc_id", "n", "set"), "documents-sets")
+    sets = written(table.where("keys is not null").select("set", "id", "n", "sketch", "keys").dropDuplicates(["set"]), "sets", free=True)
+    discard(table)
+    members = memberships(sets)
+    rows = members.join(sets.select("set", "id", "n", "sketch").hint("merge"), "id")
+    near = written(with_near_ones(rows, limit, masked=False), "near-sets", free=True)
+    discard(members, sets)
+    again = near.withColumn("head", F.explode("heads"))
+    # each with the heads of the first search, which say where a pair meets first
+    first = written(with_near_ones(again, limit, masked=True).select("set", F.col("heads").alias("here")), "meeting-sets", free=True)
+    many = plain.where("doc_id is not null and n > 0").groupBy("set").agg(F.count(F.lit(1)).alias("m"))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(near.join(first.select("set").hint("merge"), "set", "left_semi").select("id")))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in slices(batches, most=SLICE):
+            got = [(set_hash(u), u) for u in shingle_sets(b, k) if len(u)]
+            wanted = may_hold(sent.value, np.array([set_id(of, len(u), limit) for of, u in got], np.int64))
+            got = [(of, u) for (of, u), yes in zip(got, wanted, strict=True) if yes and of not in seen]
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.update(of for of, _ in got)
+            if got:
+                yield pa.RecordBatch.from_pydict({"set": pa.array([of for of, _ in got], pa.binary()), "elements": pa.array([u.view(np.int64) for _, u in got], pa.list_(pa.int64()))})
+
+    elements = docs.mapInArrow(whole, "set binary, elements array<long>").dropDuplicates(["set"])
+    rows = first.join(near.select("set", "n", "heads").hint("merge"), "set").join(many.hint("merge"), "set")
+    rows = written(rows.join(elements.hint("merge"), "set").withColumn("head", F.explode("here")).drop("here"), "meeting-elements", free=True)
+    found = written(counted_links(rows, limit, pairs), "links", free=True)
+    sent.destroy()
+    discard(near, first, rows)
+    return plain, found
 
 
-def join(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: doc_id, n and id (of its set) of each row of docs; id and root (of its component) of all sets with links to other sets."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = only(docs, "doc_id", "text")
-    table = written(signatures(docs, k, limit), "signatures")
-    linkable = table.where("doc_id is not null and n > 0")
-    entries = linkable.select("id", F.explode("keys").alias("key"))
-    ends = written(entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high"), "shared-keys", free=True)
-    alone = ends.where((F.col("m") == 2) & sizes_can_link("low", "high", limit)).select(F.col("low").alias("a"), F.col("high").alias("b"))
-    ends = ends.where("m > 2")
-    sent = spark.sparkContext.broadcast(bit_filter(ends.select("key")))
+def links(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: doc_id, n and set of each row of docs; and a and b, every pair of different sets that link, each once. In a group of near copies the pairs grow with the square of its size; cluster() counts them without making rows of them."""
+    return searched(docs, k, limit, pairs=True)
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("keys")
-            keys = lists.flatten().to_numpy()
-            ids = np.repeat(b.column("id").to_numpy(), np.diff(lists.offsets.to_numpy()))
-            ok = may_hold(sent.value, keys)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[ok], pa.int64()), "key": pa.array(keys[ok], pa.int64())})
 
-    few = linkable.select("id", "keys").mapInArrow(likely, "id long, key long")
-    shared = written(few.join(ends.select("key").hint("merge"), "key").distinct(), "list-entries", free=True)
-    sketches = linkable.select("id", "n", "sketch").dropDuplicates(["id"])
-    roots = spark.createDataFrame([], "id long, root long")  # of sets with links
-    for k_round in range(STAR_ROUNDS):
-        rooted = shared.join(roots.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        drawn = F.struct(F.xxhash64("id", F.lit(k_round)).alias("h"), "id", "root").alias("drawn")
-        named = rooted.groupBy("key", "root").agg(F.min(drawn).alias("drawn")).groupBy("key").agg(F.min("drawn").alias("x"), F.max("drawn").alias("y")).where("x.root <> y.root")
-        partner = F.when(F.col("root") == F.col("x.root"), F.col("y.id")).otherwise(F.col("x.id")).alias("partner")
-        counted = rooted.join(named.hint("merge"), "key").select("id", partner).groupBy("id", "partner").agg(F.count(F.lit(1)).alias("lists"))
-        best = counted.groupBy("id").agg(F.max(F.struct("lists", F.xxhash64("partner", F.lit(k_round)), "partner")).getField("partner").alias("partner"))
-        pairs = best.select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).where(sizes_can_link("a", "b", limit))
-        pairs = written(near((pairs if k_round else pairs.union(alone)).distinct(), sketches, limit), "pairs", free=True)
-        more = written(verified(pairs, docs, k, limit), "links", free=True)
-        if more.isEmpty():
-            break
-        roots = extended(roots, more)
-    # then, in lists with several components, all pairs from different ones
-    rooted = shared.join(roots.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    more = pairwise(written(rooted, "rooted-entries", free=True), linkable, docs, k, limit)
-    if not more.isEmpty():
-        roots = extended(roots, more)
-    return table.select("doc_id", "n", "id"), roots
+def components(links: DataFrame) -> DataFrame:
+    """set and root (the least set it is connected to) of all sets in links (a, b): least labels spread over the links and then jump to the label's own label, until nothing changes."""
+    both = written(links.union(links.select("b", "a")).toDF("u", "v").distinct(), "both-ways")
+    label = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "set"), "labels")
+    for _ in range(ROUNDS):
+        beside = both.join(label.toDF("v", "beside"), "v").groupBy("u").agg(F.min("beside").alias("beside")).withColumnRenamed("u", "set")
+        spread = label.join(beside, "set").select("set", F.col("root").alias("was"), F.least("root", "beside").alias("root"))
+        jumped = spread.join(label.toDF("root", "beyond"), "root").select("set", F.least("root", "beyond").alias("root"), "was")
+        after = written(jumped, "labels")
+        discard(label)
+        label = after
+        if after.where("root <> was").isEmpty():
+            discard(both)
+            return after.select("set", "root")
+        label = after.select("set", "root")
+        label.docloom_folder = after.docloom_folder
+    raise RuntimeError("labels haven't settled")
 
 
-def clustered(table: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
-    """These columns of the table, and component_id (the smallest doc_id that links reach)."""
-    linked = table.where("doc_id is not null and n > 0")
-    rooted = linked.select("doc_id", "id").join(roots.hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "doc_id")
-    heads = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_set = rooted.groupBy("id", "root").agg(F.lit(1).alias("one")).join(heads, "root").select("id", "component_id")
-    out = table.join(of_set.hint("merge"), "id", "left")
-    return out.select(*columns, F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+def join(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n and set of each row of docs (a written table); and, of each set that links to another or that several rows have, m (its rows), links (rows of other sets that link to it), root (a set of its component) and component_id (the smallest doc_id that links reach)."""
+    table, found = searched(docs, k, limit, pairs=False)
+    roots = components(found.where("set <> root").select(F.col("set").alias("a"), F.col("root").alias("b")))
+    sums = found.groupBy("set").agg(F.sum("links").alias("links"))
+    sets = table.where("doc_id is not null and n > 0").groupBy("set").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("first"))
+    known = sets.join(roots.hint("merge"), "set", "left").join(sums.hint("merge"), "set", "left").where("m > 1 or root is not null")
+    known = written(known.select("set", "m", "first", F.coalesce("root", "set").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "linked-sets", free=True)
+    heads = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    return table, known.join(heads.hint("merge"), "root")
 
 
 def cluster(docs: DataFrame, k: int = 4, limit: tuple[int, int] = (85, 100)) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of docs."""
-    table, roots = join(docs, k, limit)
-    return clustered(table, roots, ["doc_id", "n"]).withColumnRenamed("n", "n_shingles")
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and n_links (how many other rows link to the row, those with an equal set among them) of each row of docs."""
+    table, known = join(docs, k, limit)
+    out = table.join(known.select("set", "component_id", (F.col("m") - 1 + F.col("links")).alias("n_links")).hint("merge"), "set", "left")
+    linked = F.col("doc_id").isNotNull()  # a row with a null doc_id may have a set that others have
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(linked, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
 def with_set(docs: DataFrame, k: int) -> DataFrame:
-    """The rows of docs, and __set, the id of each row's set (null for an empty one)."""
+    """The rows of docs, and __set, the hash of each row's set (null for an empty one)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=SLICE):
-            ids = [set_id(u) if len(u) else None for u in shingle_sets(b, k)]
-            yield b.append_column("__set", pa.array(ids, pa.int64()))
+            yield b.append_column("__set", pa.array([set_hash(u) if len(u) else None for u in shingle_sets(b, k)], pa.binary()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__set", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__set", BinaryType())]))
 
 
 @keeps_names
 def keep_one(docs: DataFrame, k: int = 5, limit: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of docs, with all columns: of each component one row, of its smallest doc_id (of several sets with that doc_id, the one with the smallest id). Rows with a null doc_id or an empty set stay."""
-    table, roots = join(docs, k, limit)
-    found = written(clustered(table, roots, ["doc_id", "n", "id"]), "components")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    """The rows of docs, with all columns: of each component one row, of its smallest doc_id (of several sets with that doc_id, the one with the least hash). Rows with a null doc_id or an empty set stay."""
+    table, known = join(docs, k, limit)
+    found = written(table.where("doc_id is not null and n > 0").join(known.select("set", "root", "component_id").hint("merge"), "set"), "components")
+    if table.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         gone = found.where("doc_id <> component_id").select("doc_id")
-        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    # a doc_id may have several texts, so the set decides, too; the sets of a doc_id may be of several components
-    in_root = table.where("doc_id is not null and n > 0").select("doc_id", "id").join(roots.hint("merge"), "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
-    heads = in_root.groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("head")).select(F.col("head.doc_id").alias("doc_id"), F.col("head.id").alias("__set"))
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # a doc_id may have several texts, so the set decides, too: the rows that go are those of other sets or ids than their component's
+    heads = found.groupBy("root").agg(F.min(F.struct("doc_id", "set")).alias("head")).select(F.col("head.doc_id").alias("doc_id"), F.col("head.set").alias("__set"))
+    apart = found.select("doc_id", F.col("set").alias("__set")).distinct()
     rows = with_set(docs, k)
     loose = F.col("doc_id").isNull() | F.col("__set").isNull()
+    alone = rows.where(~loose).join(apart.hint("merge"), ["doc_id", "__set"], "left_anti")
     heads = rows.where(~loose).join(heads.hint("merge"), ["doc_id", "__set"], "left_semi").dropDuplicates(["doc_id", "__set"])
-    return heads.select(*docs.columns).unionByName(rows.where(loose).select(*docs.columns))
+    return heads.select(*docs.columns).unionByName(alone.select(*docs.columns)).unionByName(rows.where(loose).select(*docs.columns))

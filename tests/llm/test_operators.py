@@ -206,7 +206,7 @@ def test_jaccard_components(documents, odd_texts, prose, k, limit):
 
 
 def test_jaccard_gives_all_links(documents, odd_texts, prose):
-    from docloom.llm.jaccard import cluster_links, links
+    from docloom.llm.jaccard import cluster, links
 
     r = random.Random(21)
     base, texts = prose(80).split(), list(odd_texts)
@@ -218,12 +218,12 @@ def test_jaccard_gives_all_links(documents, odd_texts, prose):
         w = (t or "").encode().lower().split()
         sets.append(frozenset(tuple(w[a : a + 4]) for a in range(len(w) - 3)) if len(w) >= 4 else frozenset({tuple(w)} if w else ()))
     fits = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
-    got = by_id(cluster_links(documents(texts)))
+    got = by_id(cluster(documents(texts)))
     assert [got[i]["n_links"] for i in range(len(texts))] == [sum(fits(x, y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
     assert [got[i]["component_id"] for i in range(len(texts))] == [c for _, c in components_by_force(texts, 4, (85, 100))]
     table, found = links(documents(texts))
-    of = {r["id"]: sets[r["doc_id"]] for r in table.collect()}
-    pairs = {frozenset((of[r["a"]], of[r["b"]])) for r in found.collect()}
+    of = {bytes(r["set"]): sets[r["doc_id"]] for r in table.where("set is not null").collect()}
+    pairs = {frozenset((of[bytes(r["a"])], of[bytes(r["b"])])) for r in found.collect()}
     assert pairs == {frozenset((x, y)) for x, y in itertools.combinations(set(sets), 2) if fits(x, y)} and len(pairs) > 5
 
 
