@@ -8,13 +8,13 @@ occurrences are located by stepping back to a sampled position; the words that a
 
 Words are maximal runs of ASCII letters (A-Z lower-cased), digits and characters beyond ASCII, compared by 64-bit hash and
 length. Null and empty texts have no words. Null item_ids count as the empty string; repeated items count once; an item
-without words has no window. Repeated documents each give a row. An empty benchmark hits nothing. Texts are read whole; a
+without words has no window. Repeated documents each give a row. An empty benchmark hits nothing; an empty table gives no rows. Texts are read whole; a
 text of any length is in one shard. Extra columns are ignored, or carried along by remove().
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,9 @@ from docloom.llm._shared import ALNUM, hashed, keeps_names, only, slices, small_
 WINDOW = 10
 SAMPLE = 8
 #: Bytes of text in a shard.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of benchmark text that are searched for at a time.
-PHRASE_BYTES = 16 << 20
+PHRASE_BYTES = 4 << 20
 END, OTHER, FIRST = 0, 1, 2
 
 
@@ -42,38 +42,37 @@ class Phrases:
         keys = hashed(raw, s, e) if len(s) else np.zeros(0, np.uint64)
         self.vocabulary, at, back = np.unique(keys, return_index=True, return_inverse=True)
         self.lengths = (e - s)[at].astype(np.int64)
-        symbols = back.astype(np.int64) + FIRST
-        ends = np.searchsorted(row, np.arange(len(items)), side="right")
+        symbols = back.astype(np.int32) + FIRST
         self.ids = [i for i, _ in items]
-        found: dict[tuple[int, ...], set[int]] = {}
-        begin = 0
-        for k, end in enumerate(ends):
-            mine = symbols[begin:end].tolist()
-            for a in range(max(1, len(mine) - window + 1) if mine else 0):
-                found.setdefault(tuple(mine[a : a + window]), set()).add(k)
-            begin = end
-        self.windows = list(found)
-        self.size = np.array([len(w) for w in self.windows], np.int64)
-        self.table = np.zeros((len(self.windows), window), np.int64)
-        for k, w in enumerate(self.windows):
-            self.table[k, window - len(w) :] = w
-        owners = [sorted(found[w]) for w in self.windows]
-        self.owner_start = np.cumsum([0, *map(len, owners)])
-        self.owner = np.array([x for o in owners for x in o], np.int64)
+        first = np.searchsorted(row, np.arange(len(items) + 1))
+        n = np.diff(first)
+        many = np.where(n > 0, np.maximum(1, n - window + 1), 0)  # windows of each item
+        owner = np.repeat(np.arange(len(items)), many)
+        start = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        size = np.minimum(n[owner], window)
+        # a window stands at the end of its row, END before it
+        column = np.arange(window)
+        at = start[:, None] + column - (window - size)[:, None]
+        rows = np.where(column >= (window - size)[:, None], symbols[np.clip(at, 0, max(0, len(symbols) - 1))] if len(symbols) else END, END).astype(np.int32)
+        self.table, which = np.unique(rows, axis=0, return_inverse=True)
+        self.size = (self.table != END).sum(axis=1)
+        pair = np.unique(which.ravel().astype(np.int64) * max(1, len(items)) + owner)  # a window's items, each once
+        self.owner = (pair % max(1, len(items))).astype(np.int32)
+        self.owner_start = np.searchsorted(pair, np.arange(len(self.table) + 1) * max(1, len(items)))
 
     def symbols(self, keys: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Symbols of words, given by hash and length."""
         if not len(self.vocabulary):
-            return np.full(len(keys), OTHER, np.int64)
+            return np.full(len(keys), OTHER, np.int32)
         at = np.minimum(np.searchsorted(self.vocabulary, keys), len(self.vocabulary) - 1)
         same = (self.vocabulary[at] == keys) & (self.lengths[at] == lengths)
-        return np.where(same, at + FIRST, OTHER)
+        return np.where(same, at + FIRST, OTHER).astype(np.int32)
 
 
 def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The positions of a text in the order of their suffixes. Each END (at the positions `ends`) is below all words and below later ENDs."""
     n = len(symbols)
-    value = symbols + len(ends)
+    value = symbols.astype(np.int64) + len(ends)
     value[ends] = np.arange(len(ends))
     bits = max(1, int(value.max()).bit_length())
     step = max(1, 62 // bits)
@@ -82,8 +81,9 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         key <<= bits
         if k < n:
             key[: n - k] |= value[k:]
-    order = np.argsort(key)
-    rank = np.empty(n, np.int64)
+    order = np.argsort(key).astype(np.int32)
+    rank = np.empty(n, np.int32)
+    del value
 
     def regroup(slots: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
         """Rank the positions in these slots by the first slot with their key; returns the slots that are still tied."""
@@ -95,11 +95,11 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         alone[:-1] &= new[1:]
         return slots[~alone]
 
-    tied = regroup(np.arange(n), key[order])
+    tied = regroup(np.arange(n, dtype=np.int32), key[order])
     while len(tied):
         at = order[tied]
-        after = at + step
-        key = rank[at] * np.int64(n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        after = at.astype(np.int64) + step
+        key = rank[at].astype(np.int64) * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         by = np.argsort(key, kind="stable")
         order[tied] = at[by]
         tied = regroup(tied, key[by])
@@ -154,7 +154,7 @@ class Index:
         self.matrix = WaveletMatrix(symbols[order - 1], kinds)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=kinds))])[:-1]
         kept = offset[order] % SAMPLE == 0
-        self.kept, self.kept_before, self.samples, self.n = kept, np.cumsum(kept) - kept, order[kept], len(symbols)
+        self.kept, self.kept_before, self.samples, self.n = kept, (np.cumsum(kept) - kept).astype(np.int32), order[kept], len(symbols)
 
     def search(self, table: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The windows that occur, and their ranges of suffixes. A window stands at the end of its row."""
@@ -186,7 +186,15 @@ class Index:
         return position
 
 
-def hits(raw: np.ndarray, offsets: np.ndarray, blocks: list[Phrases]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
+def one_by_one(blocks: list) -> Iterator[Phrases]:
+    """The values of broadcasts; of several, a worker holds one at a time."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1:
+            b.__dict__.pop("_value", None)  # it is read from disk again
+
+
+def hits(raw: np.ndarray, offsets: np.ndarray, blocks: Iterable[Phrases]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
     """Of a shard's texts: start, end and row of each word, whether it is hit, and the ids of the items found in each row."""
     s, e, row = words(raw, offsets, ALNUM)
     rows = len(offsets) - 1
@@ -201,9 +209,9 @@ def hits(raw: np.ndarray, offsets: np.ndarray, blocks: list[Phrases]) -> tuple[n
     owner = np.repeat(np.arange(rows), count + 1)
     offset = np.arange(n) - first[owner]
     for phrases in blocks:
-        if not len(phrases.windows):
+        if not len(phrases.table):
             continue
-        text = np.zeros(n, np.int64)
+        text = np.zeros(n, np.int32)
         text[place] = phrases.symbols(keys, lengths)
         index = Index(text, offset, FIRST + len(phrases.vocabulary))
         which, low, high = index.search(phrases.table, phrases.size)
@@ -243,10 +251,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = phrase_blocks(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = [b.value for b in blocks]
         for b in slices(batches, most=SHARD_BYTES):
             raw, offsets = utf8(b.column("text"))
-            s, e, row, hit, items = hits(raw, offsets, phrases)
+            s, e, row, hit, items = hits(raw, offsets, one_by_one(blocks))
             n = np.bincount(row, minlength=b.num_rows)
             n_hit = np.bincount(row[hit], minlength=b.num_rows)
             spans: list[list[dict]] = [[] for _ in range(b.num_rows)]
@@ -275,11 +282,10 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = phrase_blocks(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = [b.value for b in blocks]
         for b in slices(batches, most=SHARD_BYTES):
             column = b.schema.get_field_index("text")
             raw, offsets = utf8(b.column(column))
-            s, e, row, hit, _ = hits(raw, offsets, phrases)
+            s, e, row, hit, _ = hits(raw, offsets, one_by_one(blocks))
             dirty = np.unique(row[hit])
             if len(dirty):
                 texts = b.column(column).to_pylist()
