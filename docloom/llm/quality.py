@@ -1,22 +1,24 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams (characters: 1 to 3; words: 1 and 2, both as written): the target from labelled
-good documents, the raw one from all documents. A document's log-weight is SHARPNESS times the sum of its mean log-ratio a
-character n-gram and a word n-gram, target over raw. Gumbel top-k samples without replacement by these weights: a
-document's key is its log-weight plus Gumbel noise (from doc_id and SEED, so a lost task draws the same), and the k largest
-keys are kept. k is the number of documents whose log-weight reaches a cut, which labelled documents fix: it parts good from
-junk (quality not 1) best while at least KEEP of the good reach it.
-
-Toxic documents are measured apart, as a few words in a long text hardly move a mean: two more generative models, of toxic and
-of good documents, say for whole words and their beginnings (STEMS bytes, A-Z lower-cased) which share of documents holds
-them, and a document's toxicity is the largest log-ratio, toxic over good, of what it holds, so length doesn't dilute it. Where
-it reaches its own cut, fixed like the other by good and toxic labels, the log-weight is less by TOXIC, which the noise never makes up.
+good documents, the raw one from all documents. A document's log-weight is the log-ratio of its likelihoods, target over raw:
+the sum over all its n-grams. Gumbel top-k samples without replacement by these weights: a document's key is its log-weight
+plus Gumbel noise (from doc_id and a seed, so a lost task draws the same), and the k largest keys are kept. k, the size of
+the sample, is the number of documents whose log-weight reaches a cut, which labelled documents fix: it parts good from junk
+(quality not 1) best while at least KEEP of the good reach it. Documents far from the boundary are certain; near it, the
+noise decides.
+
+Toxic documents are measured apart, as a few words in a long text hardly move its likelihood: two more generative models, of
+toxic and of good documents, say for whole words and their beginnings (STEMS bytes, A-Z lower-cased) which share of documents
+holds them, and a document's toxicity is the sum of the WORST largest log-ratios, toxic over good, among what it holds, so
+length doesn't dilute it. Where it reaches its own cut, fixed like the other by good and toxic labels, the log-weight is less
+by TOXIC, which nothing makes up.
 
 The models and the cuts are fitted on the LABELLED labelled documents whose doc_id hashes lowest, half of them (by another
 hash) for the models and half for the cuts, which so see weights as they are for documents that the models haven't seen;
 counts, weights and the sampling cover all documents. Good: quality 1 and not toxic, by all labels of the doc_id. Null or empty texts have weight 0
 and hold nothing toxic. Without good labels all weights are 0 and all documents are kept. Equal keys at the boundary are all kept, so copies of a
-row share their fate. Texts are read whole. An empty table gives no rows.
+row share their fate. Texts are read whole. An empty table gives no rows. Extra columns are ignored, or carried along by keep().
 """
 
 from __future__ import annotations
@@ -32,10 +34,9 @@ from docloom.llm._shared import ALNUM, NOT_SPACE, hash_sample, hashed, keeps_nam
 
 #: The target model and the cut are fitted on about so many labelled documents (twice as many at the very most).
 LABELLED = 20_000
-KEEP = 0.999
+KEEP = 0.997
 #: Losing a share of the good counts so many times as much as keeping that share of the bad.
-LOSS = 20
-SHARPNESS = 200.0
+LOSS = 10
 SEED = 20240229
 BITS = 16
 SMOOTHING = 0.5
@@ -43,7 +44,9 @@ SMOOTHING = 0.5
 STEMS = (4, 5, 6, 7, 8)
 #: Words and beginnings that so many toxic documents hold are in the toxic model, at most so many of them.
 TOXIC_SEEN, TOXIC_MOST = 2, 1 << 16
-TOXIC = 1e5
+TOXIC = 1e15
+#: A document's toxicity adds up so many of its largest log-ratios.
+WORST = 3
 AS_WRITTEN = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -89,7 +92,7 @@ def stems(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Toxic:
-    """Log-ratios (toxic over good, above 0) of hashes of words and beginnings; a document's toxicity is its largest, 0 without any."""
+    """Log-ratios (toxic over good, above 0) of hashes of words and beginnings; a document's toxicity is the sum of its WORST largest, 0 without any."""
 
     def __init__(self, hashes: np.ndarray, ratios: np.ndarray) -> None:
         order = np.argsort(hashes)
@@ -99,15 +102,20 @@ class Toxic:
         self.sieve[hashes >> np.uint64(44)] = True
 
     def measure(self, b: pa.RecordBatch) -> np.ndarray:
-        out = np.zeros(b.num_rows)
+        held = [np.zeros(0, np.int64)]
         if len(self.hashes):
             for h, of in stems(b):
                 maybe = np.flatnonzero(self.sieve[h >> np.uint64(44)])
                 h, of = h[maybe], of[maybe]
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                 known = self.hashes[at] == h
-                np.maximum.at(out, of[known], self.ratios[at[known]])
-        return out
+                held.append(of[known] * len(self.hashes) + at[known])
+        pair = np.unique(np.concatenate(held))  # once a document
+        of, ratio = pair // max(1, len(self.hashes)), self.ratios[pair % max(1, len(self.hashes))] if len(pair) else np.zeros(0)
+        order = np.lexsort((-ratio, of))
+        of, ratio = of[order], ratio[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        return np.bincount(of[rank < WORST], weights=ratio[rank < WORST], minlength=b.num_rows)
 
 
 def labelled_sample(labels: DataFrame) -> dict[int, tuple[bool, bool]]:
@@ -194,29 +202,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[int, tuple
 
 
 def log_weights(b: pa.RecordBatch, ratios: np.ndarray) -> np.ndarray:
-    total, many = np.zeros((2, b.num_rows)), np.zeros((2, b.num_rows))
+    """The log-ratio of each row's likelihoods, target over raw."""
+    total = np.zeros(b.num_rows)
     for base, bucket, row in features(b):
-        total[base >> BITS] += np.bincount(row, weights=ratios[base + bucket], minlength=b.num_rows)
-        many[base >> BITS] += np.bincount(row, minlength=b.num_rows)
-    return SHARPNESS * (total / np.maximum(many, 1)).sum(axis=0)
+        total += np.bincount(row, weights=ratios[base + bucket], minlength=b.num_rows)
+    return total
 
 
-def noise(ids: list[int | None]) -> np.ndarray:
+def noise(ids: list[int | None], seed: int = SEED) -> np.ndarray:
     """Gumbel noise of each doc_id (a null one as -1)."""
     with np.errstate(over="ignore"):
-        h = mix(mix(np.array([-1 if i is None else i for i in ids], np.int64).astype(np.uint64)) + np.uint64(SEED))
+        h = mix(mix(np.array([-1 if i is None else i for i in ids], np.int64).astype(np.uint64)) + mix(np.array([seed], np.uint64)))
     u = ((h >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
     return -np.log(-np.log(u))
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, toxic: Toxic) -> DataFrame:
+def weigh(docs: DataFrame, ratios: np.ndarray, toxic: Toxic, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight (without regard to toxicity), toxicity and noise of each row of docs."""
     model = docs.sparkSession.sparkContext.broadcast((ratios, toxic))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios, toxic = model.value
         for b in slices(batches, most=1 << 20):
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "log_weight": pa.array(log_weights(b, ratios), pa.float64()), "toxicity": pa.array(toxic.measure(b), pa.float64()), "noise": pa.array(noise(b.column("doc_id").to_pylist()), pa.float64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "log_weight": pa.array(log_weights(b, ratios), pa.float64()), "toxicity": pa.array(toxic.measure(b), pa.float64()), "noise": pa.array(noise(b.column("doc_id").to_pylist(), seed), pa.float64())})
 
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, log_weight double, toxicity double, noise double")
 
@@ -255,11 +263,11 @@ def kth_largest(scored: DataFrame, k: int) -> float:
     return high
 
 
-def choose(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, Toxic, float]:
+def choose(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> tuple[DataFrame, np.ndarray, Toxic, float]:
     """doc_id, log_weight and key of all documents (of a written table), the models, and the least key that is kept."""
     ratios, sample = fit(docs, labels)
     toxic = fit_toxic(docs, sample) if ratios.any() else Toxic(np.zeros(0, np.uint64), np.zeros(0))
-    weighed = written(weigh(docs, ratios, toxic), "quality-scores")
+    weighed = written(weigh(docs, ratios, toxic, seed), "quality-scores")
     spark = docs.sparkSession
     cut = -np.inf
     if sample:
@@ -278,22 +286,22 @@ def choose(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray, T
     return scored, ratios, toxic, kth_largest(scored, k) if k else np.inf
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight, key and kept of each row of docs."""
-    scored, _, _, least = choose(docs, labels)
+    scored, _, _, least = choose(docs, labels, seed)
     return scored.withColumn("kept", F.col("key") >= F.lit(float(least)))
 
 
 @keeps_names
-def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of docs that the sample keeps, with all their columns; texts are not shuffled."""
-    _, ratios, toxic, least = choose(docs, labels)
+    _, ratios, toxic, least = choose(docs, labels, seed)
     model = docs.sparkSession.sparkContext.broadcast((ratios, toxic))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios, toxic = model.value
         for b in slices(batches, most=1 << 20):
             weight = log_weights(b, ratios) - np.where(toxic.measure(b) > toxic.cut, TOXIC, 0.0)
-            yield b.filter(pa.array(weight + noise(b.column("doc_id").to_pylist()) >= least))
+            yield b.filter(pa.array(weight + noise(b.column("doc_id").to_pylist(), seed) >= least))
 
     return docs.mapInArrow(run, docs.schema)
