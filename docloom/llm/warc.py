@@ -1,16 +1,23 @@
 """WARC archives and a two-level capture index.
 
 write_archives() turns pages into gzip members, one WARC record each, in files that Spark's text writer commits: a record's
-bytes are a row, and the row separator is one NUL byte, which gzip readers take as padding between members. The archives
-can stand in any store that Spark can write to. Of pages with equal payloads the one with the largest page_id is a response;
-the others are revisits that name it (rows that repeat that page_id with the same payload are responses too).
-read_archives() reads the files whole, one at a time, and gives each record with its place.
-build_index() sorts the reversed-host URL keys of all records, packs each run of LINES of them into a compressed block and
-keeps the blocks' first keys as the sparse directory. Lookup searches the directory by bisection, opens the few blocks that
-may hold the key, and reads the records' ranges out of the archives.
-
-Null html is an empty payload. Null or odd urls have the key that their text gives. Repeated rows each have a record. An
-empty table gives archives without records and an index without blocks. Other columns are ignored.
+bytes are a row, and the row separator is one NUL byte, which gzip readers take as padding between members. Of pages with
+equal payloads the one with the largest page_id is a response; the others are revisits that name it (rows that repeat that
+page_id with the same payload are responses too).
+
+build_index() runs through the archives once for the places of their members, sorts the reversed-host URL keys of all records
+and packs each run of LINES of them into a compressed block (more at sizes where the directory would have over DIRECTORY
+entries); the blocks stand in files like the archives' own. The sparse directory has a block's first and last key, cut to
+KEY_PREFIX characters, and its range. look_up() finds the captures of many urls: bisection in the directory gives each
+key's blocks, a task range-reads each block once and bisects its lines. fetch() range-reads the records found, neighbouring
+ranges of an archive at once. Lookup does the same for one url, from the driver.
+
+Executors open archives and blocks through pyarrow.fs (local or mounted folders, HDFS, S3, GCS, Azure). Memory is bounded by
+a record, a block, or READ_BYTES, whatever an archive's size.
+
+Null html is an empty payload. Null or odd urls have the key that their text gives. Repeated rows each have a record. A
+url with very many captures spreads over its blocks. An empty table gives archives without records and an index without
+blocks. Other columns, also ones whose names clash, are ignored.
 """
 
 from __future__ import annotations
@@ -19,22 +26,25 @@ import base64
 import hashlib
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm._shared import new_folder, only, small_batches, written
+from docloom.llm._shared import discard, new_folder, only, small_batches, written
 
 #: Records of equal payloads of at least so many bytes refer to each other.
 LEAST_PAYLOAD = 0
-#: An archive has about so many records; a file is read whole by one task.
+#: An archive has so many records at most.
 RECORDS_PER_FILE = 4000
-#: Lines of the index in a compressed block.
-LINES = 1000
+#: Lines of the index in a compressed block, entries that the directory may have before blocks grow, and characters of a key there.
+LINES, DIRECTORY, KEY_PREFIX = 1000, 1 << 17, 256
+#: Bytes that a file is read by, ranges that are read at once, and the gap between ranges that is read with them.
+PIECE, READ_BYTES, GAP = 1 << 16, 4 << 20, 1 << 14
 SEPARATOR = "\0"
 URL_SAFE = "!#$%&()*+,/:;=?@[]~"
 DATE = "2020-01-01T00:00:00Z"
@@ -94,25 +104,41 @@ def parsed(member: bytes) -> dict:
     }
 
 
-def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Place, length and content of each gzip member of an archive."""
-    at, end = 0, len(data)
-    view = memoryview(data)
-    while at < end:
-        if view[at] == 0:
-            at += 1
+def opened(uri: str) -> pa.NativeFile:
+    """A file in any store that pyarrow knows, for reading at any place."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + uri.removeprefix("file:").lstrip("/"))
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
+def members(file: pa.NativeFile) -> Iterator[tuple[int, int, bytes]]:
+    """Place, length and content of each gzip member of a file, read piece by piece."""
+    piece, at, done = b"", 0, 0  # done: of the piece
+    while True:
+        if done >= len(piece):
+            piece, done = file.read(PIECE), 0
+            if not piece:
+                return
+        if piece[done] == 0:
+            done, at = done + 1, at + 1
             continue
-        unpacker = zlib.decompressobj(31)
-        content, used = [], at
+        unpacker, content, begin = zlib.decompressobj(31), [], at
         while not unpacker.eof:
-            piece = view[used : used + 65536]
-            if not piece:
-                raise ValueError("an archive ends within a record")
-            content.append(unpacker.decompress(piece))
-            used += len(piece)
-        used -= len(unpacker.unused_data)
-        yield at, used - at, b"".join(content)
-        at = used
+            if done >= len(piece):
+                piece, done = file.read(PIECE), 0
+                if not piece:
+                    raise ValueError("an archive ends within a record")
+            some = piece[done : done + 4096]
+            content.append(unpacker.decompress(some))
+            used = len(some) - len(unpacker.unused_data)
+            done, at = done + used, at + used
+        yield begin, at - begin, b"".join(content)
+
+
+def files_under(spark: SparkSession, path: str) -> DataFrame:
+    """The paths of written files; their contents aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -137,130 +163,209 @@ def write_archives(pages: DataFrame, path: str) -> None:
     packed.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
+RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, archive string, place long, length long"
+RECORD_SCHEMA = pa.schema([(f.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]]) for f in RECORD.split(", ")])
+
+
+def in_batches(rows: Iterator[dict], schema: pa.Schema, many: int = 200) -> Iterator[pa.RecordBatch]:
+    held = []
+    for r in rows:
+        held.append(r)
+        if len(held) >= many:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record under path: its fields, its payload's bytes (null for a revisit), its archive, and the place and length of its member there."""
     small_batches(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            for k in range(b.num_rows):
-                archive, out = b.column(0)[k].as_py(), []
-                for at, length, content in members(b.column(1)[k].as_buffer().to_pybytes()):
-                    out.append({**parsed(content), "archive": archive, "place": at, "length": length})
-                    if len(out) >= 200:
-                        yield pa.RecordBatch.from_pylist(out, schema=RECORD_SCHEMA)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=RECORD_SCHEMA)
+            for archive in b.column(0).to_pylist():
+                with opened(archive) as file:
+                    for at, length, content in members(file):
+                        yield {**parsed(content), "archive": archive, "place": at, "length": length}
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    return files.mapInArrow(run, RECORD)
+    return files_under(spark, path).mapInArrow(lambda batches: in_batches(rows(batches), RECORD_SCHEMA), RECORD)
 
 
-RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, archive string, place long, length long"
-RECORD_SCHEMA = pa.schema([(f.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]]) for f in RECORD.split(", ")])
+def url_of(content: bytes) -> str | None:
+    """The url of a record that record() made, from its head."""
+    at = content.find(b"\r\nX-Target: ", 0, end := content.find(b"\r\n\r\n"))
+    return unquote(content[at + 12 : content.find(b"\r\n", at + 2, end + 2)].decode()) if at >= 0 else None
 
 
-def build_index(records: DataFrame, path: str) -> DataFrame:
-    """Write the two-level index of records (read_archives()) under path: blocks of LINES sorted lines each, compressed, and return the directory: first key, last key, block number."""
-    spark = records.sparkSession
+LINE = "key string, archive string, place long, length long"
+LINE_SCHEMA = pa.schema([("key", pa.string()), ("archive", pa.string()), ("place", pa.int64()), ("length", pa.int64())])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def build_index(spark: SparkSession, archives: str, path: str) -> None:
+    """Write the index of the archives under path: blocks of sorted lines, each a gzip member."""
+    small_batches(spark)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"key": pa.array([key_of(u) for u in b.column(0).to_pylist()], pa.string()), **{n: b.column(n) for n in ("page_id", "archive", "place", "length")}})
+            for archive in b.column(0).to_pylist():
+                with opened(archive) as file:
+                    for at, length, content in members(file):
+                        yield {"key": key_of(url_of(content)), "archive": archive, "place": at, "length": length}
 
-    lines = records.select("url", "page_id", "archive", "place", "length").mapInArrow(keyed, "key string, page_id long, archive string, place long, length long")
+    lines = written(files_under(spark, archives).mapInArrow(lambda batches: in_batches(rows(batches), LINE_SCHEMA, 1000), LINE), "index-lines")
+    each = max(LINES, -(-lines.count() // DIRECTORY))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(rows: list[tuple]) -> pa.RecordBatch:
-            text = "\n".join("\t".join(("" if x is None else str(x)).replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n") for x in r) for r in rows)
-            return pa.RecordBatch.from_pydict({"first_key": [rows[0][0]], "last_key": [rows[-1][0]], "n": pa.array([len(rows)], pa.int64()), "block": pa.array([zlib.compress(text.encode(), 6)], pa.binary())})
+            text = "\n".join("\t".join(str(x).replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n") for x in r) for r in rows)
+            packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+            return pa.RecordBatch.from_pydict({"value": pa.array([packer.compress(text.encode()) + packer.flush()], pa.binary())})
 
         held: list[tuple] = []
         for b in batches:
-            held += zip(*(b.column(k).to_pylist() for k in range(5)), strict=True)
-            while len(held) >= LINES:
-                yield block(held[:LINES])
-                held = held[LINES:]
+            held += zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
+            while len(held) >= each:
+                yield block(held[:each])
+                held = held[each:]
         if held:
             yield block(held)
 
     # the keys are dealt by range with the record's place as a second key, so that one much-captured url is spread too
     ordered = lines.repartitionByRange("key", "archive", "place").sortWithinPartitions("key", "archive", "place")
-    ordered.mapInArrow(packed, "first_key string, last_key string, n long, block binary").write.parquet(path)
-    return spark.read.parquet(path).select("first_key", "last_key", "n")
+    blocks = ordered.mapInArrow(packed, "value binary").select(F.col("value").cast("string").alias("value"))
+    blocks.write.option("lineSep", SEPARATOR).text(path)
+    discard(lines)
 
 
 def unescaped(x: str) -> str:
     return re.sub(r"\\(.)", lambda m: {"t": "\t", "n": "\n"}.get(m[1], m[1]), x, flags=re.S)
 
 
-def block_lines(block: bytes) -> list[tuple[str, int | None, str, int, int]]:
-    """The lines of a compressed block: key, page_id, archive, place, length."""
+def block_lines(block: bytes) -> list[tuple[str, str, int, int]]:
+    """The lines of a block: key, archive, place, length."""
     out = []
-    for line in zlib.decompress(block).decode().split("\n"):
-        key, page, archive, place, length = line.split("\t")
-        out.append((unescaped(key), int(page) if page else None, unescaped(archive), int(place), int(length)))
+    for line in block.decode().split("\n"):
+        key, archive, place, length = line.split("\t")
+        out.append((unescaped(key), unescaped(archive), int(place), int(length)))
     return out
 
 
+class Directory:
+    """The sparse directory of an index: first and last key (cut), file, place and length of each block, in the keys' order."""
+
+    def __init__(self, spark: SparkSession, index: str) -> None:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for b in batches:
+                for path in b.column(0).to_pylist():
+                    with opened(path) as file:
+                        for at, length, content in members(file):
+                            lines = block_lines(content)
+                            yield {"first": lines[0][0][:KEY_PREFIX], "last": lines[-1][0][:KEY_PREFIX], "path": path, "place": at, "length": length}
+
+        schema = pa.schema([("first", pa.string()), ("last", pa.string()), ("path", pa.string()), ("place", pa.int64()), ("length", pa.int64())])
+        found = files_under(spark, index).mapInArrow(lambda batches: in_batches(rows(batches), schema), "first string, last string, path string, place long, length long")
+        blocks = sorted(tuple(r) for r in found.collect())  # DIRECTORY entries, and one more for each file, at most
+        self.first, self.last, self.ranges = [b[0] for b in blocks], [b[1] for b in blocks], [b[2:] for b in blocks]
+
+    def blocks(self, key: str) -> range:
+        """The blocks that may hold the key, by bisection."""
+        cut = key[:KEY_PREFIX]
+        return range(bisect_left(self.last, cut), bisect_right(self.first, cut))
+
+    def lines(self, block: int) -> list[tuple[str, str, int, int]]:
+        """The lines of a block, by a range read."""
+        path, place, length = self.ranges[block]
+        with opened(path) as file:
+            return block_lines(zlib.decompress(file.read_at(length, place), 31))
+
+
+def captures(lines: list[tuple[str, str, int, int]], key: str) -> list[tuple[str, int, int]]:
+    """Archive, place and length of the key's lines in a block, by bisection."""
+    a = bisect_left(lines, (key,))
+    z = a
+    while z < len(lines) and lines[z][0] == key:
+        z += 1
+    return [x[1:] for x in lines[a:z]]
+
+
+def look_up(urls: DataFrame, index: str) -> DataFrame:
+    """archive, place and length of all captures of the urls (one column), each once."""
+    spark = urls.sparkSession
+    small_batches(spark)
+    directory = spark.sparkContext.broadcast(Directory(spark, index))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"key": pa.array([key_of(u) for u in b.column(0).to_pylist()], pa.string())})
+
+    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(block, key) for key in b.column(0).to_pylist() for block in directory.value.blocks(key)]
+            yield pa.RecordBatch.from_pydict({"block": pa.array([x[0] for x in found], pa.int32()), "key": pa.array([x[1] for x in found], pa.string())})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, lines = -1, []
+        for b in batches:
+            out = []
+            for block, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if block != here:
+                    here, lines = block, directory.value.lines(block)
+                out += captures(lines, key)
+            if out:
+                yield pa.RecordBatch.from_pydict({"archive": pa.array([x[0] for x in out], pa.string()), "place": pa.array([x[1] for x in out], pa.int64()), "length": pa.array([x[2] for x in out], pa.int64())})
+
+    keys = urls.mapInArrow(keyed, "key string").distinct()
+    dealt = keys.mapInArrow(in_blocks, "block int, key string").repartition("block").sortWithinPartitions("block", "key")
+    return dealt.mapInArrow(read, "archive string, place long, length long")
+
+
+def fetch(ranges: DataFrame) -> DataFrame:
+    """The records in ranges of archives (archive, place, length), as read_archives() gives them; only these ranges are read, neighbouring ones at once."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        name, file, held, start = None, None, b"", 0
+        for b in batches:
+            archive, place, length = (b.column(k).to_pylist() for k in range(3))
+            for k in range(b.num_rows):
+                if archive[k] != name:
+                    if file:
+                        file.close()
+                    name, file, held, start = archive[k], opened(archive[k]), b"", 0
+                end = place[k] + length[k]
+                if end > start + len(held) or place[k] < start:
+                    z = k + 1
+                    while z < b.num_rows and archive[z] == name and place[z] - end <= GAP and place[z] + length[z] - place[k] <= READ_BYTES:
+                        end, z = place[z] + length[z], z + 1
+                    held, start = file.read_at(end - place[k], place[k]), place[k]
+                member = held[place[k] - start : place[k] - start + length[k]]
+                yield {**parsed(zlib.decompress(member, 31)), "archive": name, "place": place[k], "length": length[k]}
+        if file:
+            file.close()
+
+    dealt = ranges.repartition("archive").sortWithinPartitions("archive", "place")  # an archive has RECORDS_PER_FILE records at most
+    return dealt.mapInArrow(lambda batches: in_batches(rows(batches), RECORD_SCHEMA), RECORD)
+
+
 class Lookup:
-    """Finds captures by url from the driver: bisection in the sparse directory, then in the blocks, then range reads. The directory has one entry for each LINES captures."""
+    """Finds captures by url from the driver: bisection in the sparse directory, range reads of the blocks that may hold the key, bisection there, range reads of records."""
 
     def __init__(self, spark: SparkSession, index: str) -> None:
-        self.spark, self.index = spark, index
-        self.directory = sorted((r[0], r[1]) for r in spark.read.parquet(index).select("first_key", "last_key").toLocalIterator())
-        self.last = [x[1] for x in self.directory]
+        self.directory = Directory(spark, index)
 
-    def captures(self, url: str) -> list[tuple[str, int | None, str, int, int]]:
+    def captures(self, url: str) -> list[tuple[str, int, int]]:
         key = key_of(url)
-        at, wanted = bisect_left(self.last, key), []
-        while at < len(self.directory) and self.directory[at][0] <= key:
-            wanted.append(self.directory[at])
-            at += 1
-        if not wanted:
-            return []
-        blocks = self.spark.read.parquet(self.index).where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("block")
-        found = []
-        for r in blocks.toLocalIterator():
-            lines = block_lines(bytes(r[0]))
-            k = bisect_left(lines, (key,))
-            while k < len(lines) and lines[k][0] == key:
-                found.append(lines[k])
-                k += 1
-        return sorted(found, key=lambda x: (x[2], x[3]))
+        return sorted(x for block in self.directory.blocks(key) for x in captures(self.directory.lines(block), key))
 
     def read(self, archive: str, place: int, length: int) -> dict:
         """The record in a range of an archive; only that range is read."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(archive)
-        stream = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).open(path)
-        try:
-            stream.seek(place)
-            data = bytes(stream.readNBytes(length))
-        finally:
-            stream.close()
-        return parsed(zlib.decompress(data, 31))
-
-
-def indexed_records(records: DataFrame, index: str) -> DataFrame:
-    """The records (of read_archives(), with or without payload) that the index names, found by archive, place and length."""
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0):
-                rows = block_lines(x.as_py())
-                yield pa.RecordBatch.from_pydict({"archive": [r[2] for r in rows], "place": pa.array([r[3] for r in rows], pa.int64()), "length": pa.array([r[4] for r in rows], pa.int64())})
-
-    ranges = records.sparkSession.read.parquet(index).select("block").mapInArrow(lines, "archive string, place long, length long")
-    return records.join(ranges.hint("merge"), ["archive", "place", "length"])
+        with opened(archive) as file:
+            return parsed(zlib.decompress(file.read_at(length, place), 31))
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Write archives and index of pages into the shared folder, then read every record back through the index."""
+    """Write archives and index of pages into the shared folder, then look every page's url up in the index and read the records of its captures by their ranges."""
     spark = pages.sparkSession
     archives, index = new_folder(spark, "warc"), new_folder(spark, "warc-index")
     write_archives(pages, archives)
-    records = written(read_archives(spark, archives).drop("payload"), "warc-records")
-    build_index(records, index)
-    return indexed_records(records, index)
+    build_index(spark, archives, index)
+    return fetch(look_up(only(pages, "url"), index))
