@@ -1,30 +1,35 @@
 """Resharding by minimum-cost flow.
 
-The documents of each old shard are cut into blocks: a document larger than a BLOCKS-th of all bytes is a block by itself
-(there are fewer than BLOCKS such), the others are dealt by hash of doc_id into blocks of about that size. So the driver
-sees at most 2 * BLOCKS blocks and one more for each old shard, whatever the size of the table. A minimum-cost flow from
-the old sizes to the new capacities, where a byte costs 1 if it changes shard, says how many bytes go from each old shard to
-each new one; the blocks are then picked to fill these transfers. Law: bytes, so that the new sizes are nearly equal.
-
-A null text has no bytes; a document's size is its text's UTF-8 bytes plus 1. Rows with a null doc_id, repeated rows and
-equal texts are documents like any other (rows with equal doc_id stay in one shard). An empty table gives no rows. Extra
-columns are carried along by the files, and ignored otherwise.
+A table stands in files, each of which belongs to an old shard: the one that its folder names (shard=K), or the crc32 of its
+name, modulo the number of shards. A file's rows are cut into blocks of following rows, about BLOCKS in all (with more files
+than that, blocks are groups of whole files of one old shard), so the driver sees at most 2 * BLOCKS blocks and as many for
+each old shard as there are, whatever the size of the table. A minimum-cost flow from the old sizes to the new capacities,
+where a byte costs 1 if it changes shard, says how many bytes go from each old shard to each new one; the blocks, file after
+file, fill these transfers, what stays first, so that few files are cut. Law: bytes, so that the new sizes are nearly equal.
+
+A file all of whose blocks stay is left as it is. The rows of the other, affected files are written once, by tasks that read
+them where they stand and know the plan: no text is shuffled. A row's slot is its number in its file, after the rows of the
+shard's files before.
+
+A null text has no bytes; a document's size is its text's UTF-8 bytes plus 1. Rows are placed by where they stand, so rows
+with a null doc_id, repeated rows and equal texts are documents like any other. An empty table gives no rows. Rows that come
+from no Parquet files, or not whole from them, are first written as such. Extra columns are carried along by the files, and
+ignored otherwise.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import deque
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docloom.llm._shared import new_folder, only, written
+from docloom.llm._shared import discard, new_folder, only, written
 
 BLOCKS = 4096
-#: Rows that are numbered by one group of a sort.
-ROWS_PER_BUCKET = 5000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int]) -> list[list[int]]:
@@ -64,18 +69,19 @@ def min_cost_flow(supply: list[int], capacity: list[int]) -> list[list[int]]:
 
 
 def place_blocks(blocks: list[tuple[int, int]], flow: list[list[int]], capacity: list[int]) -> list[int]:
-    """The new shard of each block (old shard, size): large blocks first into the transfer with most left; then the last unevenness goes, block by block."""
+    """The new shard of each block (old shard, size; in the order of files): an old shard's blocks fill its transfers one after the other, what stays first; then the last unevenness goes, block by block."""
     left = [list(x) for x in flow]
     load, where = [0] * len(capacity), [0] * len(blocks)
-    for k in sorted(range(len(blocks)), key=lambda k: (-blocks[k][1], k)):
-        old, size = blocks[k]
-        to = max(range(len(capacity)), key=lambda j: (left[old][j], j == old, capacity[j] - load[j], -j))
+    order = [sorted((j for j in range(len(capacity)) if left[i][j]), key=lambda j: (j != i, j)) or [min(i, len(capacity) - 1)] for i in range(len(flow))]
+    for k, (old, size) in enumerate(blocks):
+        # a transfer takes a block whose larger part fits
+        while len(order[old]) > 1 and 2 * left[old][order[old][0]] < size:
+            order[old].pop(0)
+        to = order[old][0]
         where[k] = to
         left[old][to] -= size
         load[to] += size
-    members = defaultdict(list)
-    for k, to in enumerate(where):
-        members[to].append(k)
+    members = [sorted((k for k in range(len(blocks)) if where[k] == j), key=lambda k: blocks[k][1]) for j in range(len(capacity))]
     for _ in range(len(blocks)):
         over = [load[j] - capacity[j] for j in range(len(capacity))]
         most, least = max(range(len(over)), key=over.__getitem__), min(range(len(over)), key=over.__getitem__)
@@ -105,56 +111,100 @@ def crc_of(text: str = "text") -> Column:
     return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
-def reshard(docs: DataFrame, old_shard: Column, old_shards: int, capacity: list[int] | None = None, shards: int = 8) -> DataFrame:
-    """All rows and columns of docs with old_shard, shard and slot (gapless from 0 in each shard); capacity: bytes of each new shard, even by default."""
-    spark = docs.sparkSession
-    marked = docs.withColumns({"__old": F.coalesce(old_shard.cast("int"), F.lit(0)), "__size": size_of(), "__crc": crc_of()})
-    ids = written(marked.select("doc_id", "__old", "__size"), "shard-sizes")
-    held = {r["__old"]: (r["b"], r["n"]) for r in ids.groupBy("__old").agg(F.sum("__size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}  # a row for each old shard
-    supply = [held.get(i, (0, 0))[0] for i in range(old_shards)]
-    total, rows = sum(supply), sum(n for _, n in held.values())
-    capacity = capacity or even(total, shards)
-    unit = max(1, total // BLOCKS)
-    blocks_of = F.element_at(F.array(*(F.lit(max(1, -(-b // unit))) for b in supply)), F.col("__old") + 1)
-    large = F.col("__size") > unit
-    block = {"__large": large, "__block": F.when(large, F.coalesce("doc_id", F.lit(-(1 << 63)))).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(7)), blocks_of))}
-    keys = ["__old", "__large", "__block"]
-    blocks = ids.withColumns(block).groupBy(*keys).agg(F.sum("__size").alias("b")).orderBy(*keys).collect()  # bounded: see above
-    where = place_blocks([(r["__old"], r["b"]) for r in blocks], min_cost_flow(supply, capacity), capacity)
-    kinds = T.StructType([T.StructField("__old", T.IntegerType()), T.StructField("__large", T.BooleanType()), T.StructField("__block", T.LongType()), T.StructField("shard", T.IntegerType())])
-    plan = F.broadcast(spark.createDataFrame([(*(r[k] for k in keys), j) for r, j in zip(blocks, where, strict=True)], kinds))
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(max(1, rows // (ROWS_PER_BUCKET * len(capacity)))))
-    counts = ids.withColumns(block).join(plan, keys).withColumn("__bucket", bucket).groupBy("shard", "__bucket").count()
-    first = counts.select("shard", "__bucket", (F.sum("count").over(Window.partitionBy("shard").orderBy("__bucket")) - F.col("count")).alias("__first"))
-    placed = marked.withColumns(block).join(plan, keys).withColumn("__bucket", bucket)
-    in_bucket = F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy("doc_id", "__size", "__crc")) - 1
-    slot = (F.col("__first") + F.col("__rank")).cast("long")
-    out = placed.withColumn("__rank", in_bucket).join(first, ["shard", "__bucket"]).withColumns({"slot": slot, "old_shard": F.col("__old")})
-    return out.drop("__old", "__size", "__crc", "__large", "__block", "__bucket", "__first", "__rank")
-
-
-def rewrite(placed: DataFrame, path: str) -> DataFrame:
-    """Write what reshard() returned, one folder for each new shard, and read it again."""
-    placed.write.partitionBy("shard").parquet(path)
-    return placed.sparkSession.read.schema(placed.schema).parquet(path)
+def name_of(path: str) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def located(table: DataFrame) -> DataFrame | None:
+    """The table with __file and __row, where each row stands; None if it doesn't come from Parquet files."""
+    try:
+        return table.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return None
+
+
+class Resharding:
+    """The plan of a table's resharding: which files stay, and where the blocks of the others go."""
+
+    def __init__(self, table: DataFrame, shards: int, capacity: list[int] | None = None, old_shard: str | None = None) -> None:
+        spark = self.spark = table.sparkSession
+        self.table, self.rows = table, located(table)
+        if self.rows is None or not self._measured(old_shard, shards):
+            self.table = written(table, "unsharded")
+            self.rows = located(self.table)
+            self._measured(old_shard, shards)
+        n_files, n_rows = self.files.agg(F.count(F.lit(1)), F.sum("n")).first()
+        each = max(1, (n_rows or 0) // BLOCKS)
+        few = n_files <= BLOCKS  # else a block is a group of whole files
+        self.block = [F.when(F.lit(few), F.col("__file")).otherwise(F.pmod(F.xxhash64("__file"), F.lit(BLOCKS)).cast("string")).alias("__group"), F.when(F.lit(few), F.floor(F.col("__row") / each)).otherwise(F.lit(0)).cast("long").alias("__block")]
+        keys = ["__old", "__group", "__block"]
+        blocks = self.sizes.select("__old", *self.block, "__size").groupBy(*keys).agg(F.sum("__size").alias("b")).orderBy(*keys).collect()  # bounded: see above
+        discard(self.sizes)
+        olds = max([shards - 1, *(r["__old"] for r in blocks)]) + 1
+        supply = [0] * olds
+        for r in blocks:
+            supply[r["__old"]] += r["b"]
+        capacity = capacity or even(sum(supply), shards)
+        capacity = capacity + [0] * (olds - len(capacity))
+        where = place_blocks([(r["__old"], r["b"]) for r in blocks], min_cost_flow(supply, capacity), capacity)
+        self.moved_bytes = sum(r["b"] for r, j in zip(blocks, where, strict=True) if r["__old"] != j)
+        kinds = T.StructType([T.StructField("__old", T.IntegerType()), T.StructField("__group", T.StringType()), T.StructField("__block", T.LongType()), T.StructField("shard", T.IntegerType())])
+        moving = {(r["__old"], r["__group"]) for r, j in zip(blocks, where, strict=True) if r["__old"] != j}
+        plan = [(*(r[k] for k in keys), j) for r, j in zip(blocks, where, strict=True) if (r["__old"], r["__group"]) in moving]
+        self.plan = spark.createDataFrame(plan, kinds)  # the blocks of affected files
+        self.leaves = bool(plan)
+        group = self.files.select("__file", "__old", "n", F.lit(0).alias("__row")).select("__file", "__old", "n", self.block[0])
+        self.kept = group.join(F.broadcast(self.plan.select("__old", "__group").distinct()), ["__old", "__group"], "left_anti").select(F.col("__file"), F.col("__old").alias("shard"), "n")
+        self.stays = len({(r["__old"], r["__group"]) for r in blocks}) > len(moving)
+
+    def _measured(self, old_shard: str | None, shards: int) -> bool:
+        """Write sizes and files; False if rows are missing from the files' rows."""
+        old = F.col(old_shard).cast("int") if old_shard else F.pmod(F.crc32(name_of("__file").cast("binary")), F.lit(shards)).cast("int")
+        self.rows = self.rows.withColumn("__old", old)
+        self.sizes = written(self.rows.select("__old", "__file", "__row", size_of().alias("__size")), "row-sizes")
+        files = self.sizes.groupBy("__file", "__old").agg(F.count(F.lit(1)).alias("n"), F.max("__row").alias("last"), F.countDistinct("__row").alias("different"))
+        self.files = written(files, "file-sizes")
+        return self.files.where("n <> last + 1 or n <> different").isEmpty()
+
+    def rewrite(self, path: str) -> DataFrame | None:
+        """Write the rows of the affected files under path, a folder for each shard; returns the written table with shard, or None if no file is affected."""
+        if not self.leaves:
+            return None
+        rows = self.rows.select("*", *self.block).join(F.broadcast(self.plan), ["__old", "__group", "__block"])
+        rows = rows.withColumn("old_shard", F.col("__old")).drop("__old", "__group", "__block", "__file", "__row")
+        rows.write.partitionBy("shard").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def placed(self, path: str) -> DataFrame:
+        """All rows, read from where they stand after rewrite(): those of files that stay, and of new files; with shard, old_shard and slot."""
+        new, rows, manifest = self.rewrite(path), [], []
+        if self.stays or new is None:
+            rows.append(self.rows.join(self.kept.select("__file", "shard"), "__file").withColumn("old_shard", F.col("__old")).drop("__old"))
+            manifest.append(self.kept.select("__file", "shard", "n"))
+        if new is not None:
+            here = located(new)
+            rows.append(here)
+            manifest.append(here.groupBy("__file", "shard").agg(F.count(F.lit(1)).alias("n")))
+        files = manifest[0] if len(manifest) == 1 else manifest[0].unionByName(manifest[1])
+        files = written(files, "shard-files")  # a row for each file
+        before = F.sum("n").over(Window.partitionBy("shard").orderBy("__file")) - F.col("n")
+        first = files.select("__file", before.alias("__first"))
+        out = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+        return out.join(first, "__file").withColumn("slot", (F.col("__first") + F.col("__row")).cast("long")).drop("__file", "__row", "__first")
 
 
 def reshard_files(spark: SparkSession, old: str, new: str, capacity: list[int]) -> DataFrame:
-    """Reshard a folder of shards (shard=0 and so on under old). Only shards that lose or gain rows are rewritten, under new; returns shard and the folder that now holds it."""
-    docs = spark.read.parquet(old)
-    shards = max(len(capacity), 1 + (docs.agg(F.max("shard")).first()[0] or 0))
-    capacity = capacity + [0] * (shards - len(capacity))
-    placed = reshard(docs.withColumnRenamed("shard", "__was").drop("slot"), F.col("__was"), shards, capacity).drop("__was")
-    placed = written(placed, "resharded")
-    moved = placed.where("shard <> old_shard").select("shard", "old_shard").distinct().collect()  # a pair of shards each
-    affected = sorted({s for r in moved for s in (r["shard"], r["old_shard"])})
-    placed.where(F.col("shard").isin(affected)).write.partitionBy("shard").parquet(new)
-    return spark.createDataFrame([(s, f"{new if s in affected else old}/shard={s}") for s in range(shards) if s < len(capacity) and capacity[s]], "shard int, folder string")
+    """Reshard a folder of shards (shard=0 and so on under old) in place: only files that lose rows are rewritten, under new. Returns shard and file: the files that make up each shard now. Files of old that aren't named can go."""
+    plan = Resharding(spark.read.parquet(old).withColumnRenamed("shard", "__was"), len(capacity), capacity, "__was")
+    rewritten = plan.rewrite(new)
+    files = plan.kept.select("shard", F.col("__file").alias("file"))
+    if rewritten is not None:
+        files = files.unionByName(located(rewritten).select("shard", F.col("__file").alias("file")).distinct())
+    return files
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of all documents, read back from the rewritten shards. The old shard is crc32 of the source, modulo the number of shards, so that a hot source is a shard far too large."""
-    docs = only(docs, "doc_id", "text", "source")
-    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(shards))
-    files = rewrite(reshard(docs, old, shards, shards=shards), new_folder(docs.sparkSession, "shards"))
-    return files.select("doc_id", size_of().alias("size"), crc_of().alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of all documents, read from the shards' files after the resharding."""
+    plan = Resharding(only(docs, "doc_id", "text"), shards)
+    rows = plan.placed(new_folder(docs.sparkSession, "shards"))
+    return rows.select("doc_id", size_of().alias("size"), crc_of().alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
