@@ -91,9 +91,45 @@ def test_only_affected_shards_are_rewritten(spark, documents, tmp_path):
     old = str(tmp_path / "old")
     docs.withColumn("shard", F.when(F.col("doc_id") < 40, 0).when(F.col("doc_id") < 80, 1).otherwise(2)).write.partitionBy("shard").parquet(old)
     each = docs.agg(F.sum(size_of())).first()[0] // 4
-    manifest = {r["shard"]: r["folder"] for r in reshard_files(spark, old, str(tmp_path / "new"), [each, each, each, each]).collect()}
-    assert manifest[0].startswith(old) and manifest[1].startswith(old) and not manifest[2].startswith(old)
-    assert sum(spark.read.parquet(f).count() for f in manifest.values()) == docs.count()
+    files = reshard_files(spark, old, str(tmp_path / "new"), [each, each, each, each]).collect()
+    assert all(f"{tmp_path}/old" in r["file"] for r in files if r["shard"] < 2)
+    assert 3 in {r["shard"] for r in files if f"{tmp_path}/new" in r["file"]} <= {2, 3}
+    sizes = {s: spark.read.parquet(*(r["file"] for r in files if r["shard"] == s)).count() for s in range(4)}
+    assert sizes == {0: 40, 1: 40, 2: 40, 3: 40}
+
+
+def test_sharding_of_one_doc_id_on_half_the_rows(documents, prose):
+    from docloom.llm.sharding import shard_documents
+
+    ids = [1 if k % 2 else None if k % 4 else k for k in range(600)]
+    out = shard_documents(documents([prose(20) for _ in ids], ids)).collect()
+    sizes = defaultdict(int)
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+    assert len(out) == 600 and max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 8
+
+
+def test_sharding_leaves_even_files_alone(spark, documents, prose, tmp_path):
+    """Files whose shards have the right sizes stay where they are, and their rows have gapless slots; filtered rows are written first."""
+    from pyspark.sql import functions as F
+
+    from docloom.llm.sharding import Resharding, shard_documents
+
+    path = str(tmp_path / "many")
+    documents([f"text number {100 + k}" for k in range(320)]).repartition(16).write.parquet(path)
+    plan = Resharding(spark.read.parquet(path), 8)
+    placed = plan.placed(str(tmp_path / "new")).collect()
+    assert sorted(r["doc_id"] for r in placed) == list(range(320)) and {"text", "lang", "source", "n_chars"} <= set(placed[0].asDict())
+    slots = defaultdict(list)
+    for r in placed:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(40)) for s in slots.values()) and len(slots) == 8
+    held = defaultdict(int)
+    for r in placed:
+        held[r["old_shard"]] += 16
+    assert plan.moved_bytes <= sum(max(0, v - 16 * 40) for v in held.values()) + 16 * 8
+    some = shard_documents(spark.read.parquet(path).where(F.col("doc_id") % 3 == 0)).collect()
+    assert len(some) == 107 and all(max(r["slot"] for r in some if r["shard"] == s) < 15 for s in range(8))
 
 
 # --- 2: top-k
@@ -162,6 +198,42 @@ def test_distrust_goes_the_whole_way(spark):
     assert {r["verdict"] for r in got.values()} == {"block"}
 
 
+def test_propagation_against_matrices(spark):
+    """Trust and distrust on a random graph, with a chain of 30 hosts, against solving the linear systems."""
+    import numpy as np
+
+    from docloom.llm.urls import DAMPING, propagate
+
+    r = random.Random(17)
+    n = 45
+    weights = {(i, i + 1): 1 for i in range(30)} | {(r.randrange(n), r.randrange(n)): r.randrange(1, 5) for _ in range(60)}
+    weights = {e: w for e, w in weights.items() if e[0] != e[1]}
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", w) for (a, b), w in weights.items()], "src string, dst string, weight long")
+    trust, distrust = np.zeros(n), np.zeros(n)
+    trust[[0, 33]], distrust[[29, 40, 41]] = 1 / 2, 1 / 3
+    seeds = spark.createDataFrame([(f"h{i}", float(trust[i]), float(distrust[i])) for i in range(n) if trust[i] or distrust[i]], "host string, trust double, distrust double")
+    a = np.zeros((n, n))
+    for (x, y), w in weights.items():
+        a[x, y] = w
+    share = lambda m: np.divide(m, m.sum(axis=1, keepdims=True), out=np.zeros_like(m), where=m.sum(axis=1, keepdims=True) > 0)
+    solved = [np.linalg.solve(np.eye(n) - DAMPING * share(m).T, (1 - DAMPING) * s) for m, s in ((a, trust), (a.T.copy(), distrust))]
+    got = {x["host"]: x for x in propagate(edges, seeds).collect()}
+    for i in range(n):
+        for name, exact in zip(("trust", "distrust"), solved, strict=True):
+            assert (got[f"h{i}"][name] if f"h{i}" in got else 0.0) == pytest.approx(exact[i], rel=1e-4, abs=1e-12)
+
+
+def test_distrust_reaches_those_who_link_to_bad_hosts(spark):
+    """Of the same pages' graph: hosts that link to a blocked seed go, hosts that a trusted one links to stay, others are allowed."""
+    from docloom.llm.urls import judge
+
+    link = lambda *hosts: "".join(f'<a class="x" href="https://{h}/p">x</a>' for h in hosts)
+    pages = [("a.spam-farm.io", ""), ("friend.io", link("a.spam-farm.io")), ("friend2.io", link("friend.io")), ("example.com", link("good.io", "good.io")), ("good.io", link("a.spam-farm.io", "fine.io")), ("alone.io", "<p>" * 50_000), ("fine.io", "")]
+    rows = [(i, f"http://{h}/" + ("en/7" if h == "example.com" else ""), x) for i, (h, x) in enumerate(pages)]
+    got = {r["host"]: r["verdict"] for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[h] for h, _ in pages] == ["block", "block", "block", "allow", "allow", "allow", "allow"]
+
+
 # --- 4: Jaccard join
 
 def components_by_force(texts, k, limit):
@@ -469,10 +541,77 @@ def test_toxic_recall_on_labels_held_back(spark):
     held = [r for r in labels.where("doc_id % 2 = 1 and quality = 1").collect()]
     toxic, good = ([kept[r["doc_id"]] for r in held if r["toxic"] == t] for t in (1, 0))
     print("held-out toxic dropped", toxic.count(False), len(toxic), "good kept", sum(good), len(good))
-    assert toxic.count(False) >= 0.6 * len(toxic)
+    assert toxic.count(False) >= 0.85 * len(toxic)
     assert sum(good) >= 0.99 * len(good)
 
 
+def test_quality_weights_are_log_ratios_of_likelihoods(spark, documents):
+    """Against models of the n-grams themselves, without hashing (no two of these n-grams share a bucket)."""
+    from math import log
+
+    from docloom.llm.quality import BITS, SMOOTHING, classify, for_target
+
+    import numpy as np
+
+    r = random.Random(31)
+    texts = [" ".join(r.choice(["ab", "ba", "cab"]) for _ in range(r.randrange(0, 9))) if k % 3 else " ".join(r.choice(["zz", "ab"]) for _ in range(4)) for k in range(40)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    teaches = for_target(np.arange(40))
+
+    def grams(t):
+        w = t.split()
+        return [[t[a : a + n] for n in (1, 2, 3) for a in range(len(t) - n + 1)], [("w", x) for x in w] + list(zip(w, w[1:], strict=False))]
+
+    raw, target = ([defaultdict(int), defaultdict(int)] for _ in range(2))
+    for k, t in enumerate(texts):
+        for kind in (0, 1):
+            for g in grams(t)[kind]:
+                raw[kind][g] += 1
+                target[kind][g] += bool(k % 3 and teaches[k])
+    p = lambda of, g: log((of[g] + SMOOTHING) / (sum(of.values()) + SMOOTHING * (1 << BITS)))
+    got = by_id(classify(documents(texts), labels))
+    for k, t in enumerate(texts):
+        expected = sum(p(target[kind], g) - p(raw[kind], g) for kind in (0, 1) for g in grams(t)[kind])
+        assert got[k]["log_weight"] == pytest.approx(expected, abs=1e-6)
+
+
+def test_gumbel_top_k_samples_by_the_weights():
+    """Inclusion frequencies over seeds against drawing one by one, without replacement, in proportion to exp(weight)."""
+    import numpy as np
+
+    from docloom.llm.quality import noise
+
+    weights, k, seeds = np.array([0.0, 1.0, -1.0, 0.5, 2.0, 0.0, -2.0]), 3, 6000
+    share = np.exp(weights)
+    exact = np.zeros(len(weights))
+    for drawn in itertools.permutations(range(len(weights)), k):
+        p, left = 1.0, share.sum()
+        for i in drawn:
+            p, left = p * share[i] / left, left - share[i]
+        exact[list(drawn)] += p
+    found = np.zeros(len(weights))
+    for seed in range(seeds):
+        found[np.argsort(weights + noise(list(range(len(weights))), seed))[-k:]] += 1
+    assert np.abs(found / seeds - exact).max() < 0.025
+
+
+def test_noise_decides_near_the_boundary(spark, documents):
+    from docloom.llm.quality import classify
+
+    r = random.Random(44)
+    shares = [r.random() for _ in range(500)]
+    texts = [" ".join(r.choice(["alpha", "beta"] if r.random() < x else ["ALFA!!", "BETA!!"]) for _ in range(8)) for x in shares]
+    labels = spark.createDataFrame([(i, int(r.random() < x), 0) for i, x in enumerate(shares)], "doc_id long, quality int, toxic int")
+    runs = [by_id(classify(documents(texts), labels, seed)) for seed in (1, 2)]
+    kept = [{i for i, x in run.items() if x["kept"]} for run in runs]
+    assert len(kept[0]) == len(kept[1]) < 500  # the size of the sample doesn't depend on the seed
+    least = min(runs[0][i]["key"] for i in kept[0])
+    undecided = kept[0] ^ kept[1]
+    assert undecided and all(abs(runs[0][i]["log_weight"] - least) < 15 for i in undecided)
+    by_weight = set(sorted(runs[0], key=lambda i: -runs[0][i]["log_weight"])[: len(kept[0])])
+    assert kept[0] != by_weight
+
+
 def test_kth_largest_is_exact(spark):
     from docloom.llm.quality import kth_largest
 
@@ -531,23 +670,39 @@ def test_warc_round_trip(spark):
     assert archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_capture_index_lookup(spark, tmp_path):
+def test_capture_index_lookup(spark, tmp_path, monkeypatch):
     from docloom.llm import warc
 
     rows = [(i, f"http://h{i % 7}.example.org/p/{i % 50}", f"<p>{i}</p>") for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     archives, index = f"file://{tmp_path}/warc", f"file://{tmp_path}/index"
     warc.write_archives(pages, archives)
-    warc.build_index(warc.read_archives(spark, archives), index)
+    monkeypatch.setattr(warc, "LINES", 13)
+    warc.build_index(spark, archives, index)
     lookup = warc.Lookup(spark, index)
+    assert len(lookup.directory.first) >= 200 // 13
     for url in {u for _, u, _ in rows[:20]}:
-        found = lookup.captures(url)
-        assert sorted(x[1] for x in found) == sorted(i for i, u, _ in rows if u == url)
-        one = lookup.read(*found[0][2:])
-        assert one["url"] == url and one["payload"] == f"<p>{found[0][1]}</p>".encode()
+        found = [lookup.read(*x) for x in lookup.captures(url)]
+        assert sorted(x["page_id"] for x in found) == sorted(i for i, u, _ in rows if u == url)
+        assert all(x["url"] == url and x["payload"] == f"<p>{x['page_id']}</p>".encode() for x in found)
+    some = spark.createDataFrame([(u,) for _, u, _ in rows[:20]] + [("http://nowhere/",)], "url string")
+    got = warc.fetch(warc.look_up(some, index)).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(i for i, u, _ in rows if u in {x for _, x, _ in rows[:20]})
+    every = {(r["archive"], r["place"], r["length"]): r for r in warc.read_archives(spark, archives).collect()}
+    assert len(every) == 200 and all(every[r["archive"], r["place"], r["length"]] == r for r in got)
     assert lookup.captures("http://h0.example.org/nowhere") == [] and lookup.captures("http://zz.example/") == []
 
 
+def test_one_url_with_most_captures_and_long_keys(spark, monkeypatch):
+    from docloom.llm import warc
+
+    monkeypatch.setattr(warc, "LINES", 20)
+    long = "http://long.example/" + "x" * 400
+    rows = [(i, "http://hot.example/" if i % 3 else long + str(i % 2), None if i % 5 else f"{i}") for i in range(300)] + [(None, None, "p"), (None, "no scheme", "p")]
+    out = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"] or -1, r["url"] or "") for r in out) == sorted((i or -1, u or "") for i, u, _ in rows)
+
+
 def test_archives_are_gzip_files_of_warc_records(spark, tmp_path):
     import gzip
     from pathlib import Path
