@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ QUERIES: dict[str, tuple[str, str, str]] = {
     "filter_mask": ("lineitem", "(@[@[:].l_quantity > 45 & @[:].l_returnflag == R])[:].l_orderkey", "SELECT l_orderkey AS value FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'"),
     "filter_regex": ("part", "@[:][@.p_type =~ g`^(ECONOMY|PROMO)`]{k: @.p_partkey}", "SELECT p_partkey AS k FROM part WHERE regexp_matches(p_type, '^(ECONOMY|PROMO)')"),
     "filter_not": ("orders", "@[:][not @.o_orderstatus == F]{k: @.o_orderkey}", "SELECT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'F'"),
-    "slice_limit": ("orders", "(sort_by(@, o_orderkey)[:25]){len(@)}", "SELECT count(*) AS _1 FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 25)"),
+    "slice_limit": ("orders", "(sort_by(@, o_orderkey)[:25])[:]{k: @.o_orderkey, p: @.o_totalprice}", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY o_orderkey LIMIT 25"),
     "slice_offset": ("orders", "sort_by(@, o_orderkey)[10:20].o_orderkey", "SELECT o_orderkey AS value FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 10"),
     "slice_stride": ("orders", "sort_by(@, o_orderkey)[5::100].o_orderkey", "SELECT o_orderkey AS value FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i >= 5 AND (i - 5) % 100 = 0"),
     "slice_last": ("orders", "sort_by(@, o_orderkey)[-7:].o_orderkey", "SELECT o_orderkey AS value FROM orders ORDER BY o_orderkey DESC LIMIT 7"),
@@ -75,13 +76,13 @@ QUERIES: dict[str, tuple[str, str, str]] = {
     "pivot": ("events", "pivot(@, event_type, value)[:]{key: @.key, n: len(@.values), low: @.values[0], high: @.values[-1]}", "SELECT event_type AS key, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1"),
     # relations with each other
     "semi": ("orders", "@[:][in(@.o_custkey, customer[:][@.c_acctbal < 0].c_custkey)].o_orderkey", "SELECT o_orderkey AS value FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"),
-    "anti": ("customer", "@[:][not in(@.c_custkey, orders[:].o_custkey)].c_custkey", "SELECT c_custkey AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "anti": ("customer", "@[:][not in(@.c_custkey, orders[:][@.o_totalprice > 250000].o_custkey)].c_custkey", "SELECT c_custkey AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)"),
     "member_flag": ("customer", "@[:]{k: @.c_custkey, active: in(@.c_custkey, orders[:].o_custkey), poor: not in(@.c_custkey, customer[:][@.c_acctbal > 0].c_custkey)}", "SELECT c_custkey AS k, c_custkey IN (SELECT o_custkey FROM orders) AS active, c_acctbal <= 0 AS poor FROM customer"),
     "lookup_join": ("nation", "var r = group_by(region, r_regionkey); @[:]{nation: @.n_name, region: at(r, @.n_regionkey)[0].r_name}", "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey"),
-    "union_all": ("nation", "len(concat(nation, nation))", "SELECT 2 * count(*) AS value FROM nation"),
+    "union_all": ("nation", "concat(nation, @[:][@.n_regionkey == 1], @)", "SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_regionkey = 1 UNION ALL SELECT * FROM nation"),
     "union_distinct": ("orders", "unique(concat(orders[:][@.o_orderstatus == F]->@.o_custkey, orders[:][@.o_orderstatus == O]->@.o_custkey))", "SELECT o_custkey AS value FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'"),
     "intersect": ("customer", "unique(@[:][in(@.c_nationkey, supplier[:].s_nationkey)].c_nationkey)", "SELECT c_nationkey AS value FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
-    "except": ("nation", "@[:][not in(@.n_nationkey, supplier[:].s_nationkey)].n_nationkey", "SELECT n_nationkey AS value FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)"),
+    "except": ("nation", "@[:][not in(@.n_nationkey, customer[:][@.c_nationkey % 3 == 1].c_nationkey)].n_nationkey", "SELECT n_nationkey AS value FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_nationkey % 3 = 1"),
     "enumerate": ("customer", "enumerate(sort_by(@, c_custkey))[:]{i: @._1, k: @._2.c_custkey}", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_custkey AS k FROM customer"),
     "zip_columns": ("customer", "zip(@[:].c_custkey, @[:].c_acctbal * 2)", "SELECT c_custkey AS _1, c_acctbal * 2 AS _2 FROM customer"),
     "zip_relations": ("nation", "zip(sort_by(@, n_nationkey)[:5].n_name, sort_by(region, r_regionkey)[:].r_name)", "SELECT n_name AS _1, r_name AS _2 FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) JOIN (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) USING (i)"),
@@ -99,7 +100,7 @@ QUERIES: dict[str, tuple[str, str, str]] = {
     "regex_find_all": ("pages", "@[:]{k: @.page_id, links: len(s_fa(@.html, g`href=\"([^\"]*)\"`)), first: s_fa(@.html, g`href=\"([^\"]*)\"`)[0]}", "SELECT page_id AS k, CAST(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS BIGINT) AS links, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)[1] AS first FROM pages"),
     "regex_find": ("documents", "@[:]{k: @.doc_id, n: len(s_find(@.text, g`[0-9]+`))}", "SELECT doc_id AS k, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS n FROM documents"),
     "regex_numbers": ("events", "@[:]{k: @.event_id, v: s_fa(@.props, `(INT)`, false, 0)[0]}", "SELECT event_id AS k, CAST(regexp_extract(props, '[+-]?[0-9]+') AS DOUBLE) AS v FROM events"),
-    "csv_text": ("nation", "@[:]{k: @.n_nationkey, r: s_csv(f`{@.n_name},{@.n_regionkey}`, 2, , `\\n`, , h)[0][1], n: s_count(@.n_name, csv_regex(1))}", "SELECT n_nationkey AS k, CAST(n_regionkey AS VARCHAR) AS r, CAST(1 AS BIGINT) AS n FROM nation"),
+    "csv_text": ("part", "@[:]{k: @.p_partkey, r: s_csv(f`{@.p_partkey},\"{@.p_type}, {@.p_brand}\"`, 2, , `\\n`, , h)[0][1], n: s_count(@.p_type, csv_regex(1))}", "SELECT p_partkey AS k, p_type || ', ' || p_brand AS r, CAST(1 AS BIGINT) AS n FROM part"),
     "regex_split_groups": ("part", "@[:]{k: @.p_partkey, a: s_split(@.p_brand, g`(#)`)[1], b: s_split(@.p_brand, g`(#)`)[2]}", "SELECT p_partkey AS k, '#' AS a, split_part(p_brand, '#', 2) AS b FROM part"),
     "regex_callback": ("part", "@[:]{k: @.p_partkey, t: s_sub(@.p_brand, g`(\\d+)`, s_cat(loop(), `<`, @[1], `>`))}", "SELECT p_partkey AS k, regexp_replace(p_brand, '(\\d+)', '1<\\1>') AS t FROM part"),
     "stringify": ("nation", "@[:]{k: @.n_nationkey, t: stringify(@), f: s_format(`{b: 1, a: [2]}`, c)}", "SELECT n_nationkey AS k, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' AS t, '{\"a\": [2], \"b\": 1}' AS f FROM nation"),
@@ -134,7 +135,7 @@ QUERIES: dict[str, tuple[str, str, str]] = {
 def _run(table: str, query: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-        named = {n: read(n) for n in TABLES if n in query}
+        named = {n: read(n) for n in TABLES if re.search(rf"\b{n}\b", query)}
         return Engine(spark, **named).query(query, read(table))
 
     return run
@@ -175,7 +176,7 @@ def tabularize_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tabularize_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.operators.tabularize import tabularize
 
-    flat = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.struct("label", F.slice("embedding", 1, 2).alias("e")).alias("v"))
+    flat = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.struct("label", F.col("embedding").alias("e")).alias("v"))
     return tabularize(flat, "r", "_")
 
 
@@ -216,17 +217,94 @@ def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(json.dumps(infer(events), sort_keys=True),)], "schema string")
 
 
+def odd_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with nulls, NaN and large integers among them."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(
+        "o_orderkey", (F.col("o_orderkey").cast("long") * 100_000_000_000).alias("big"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("urgency"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("x"),
+    )
+
+
+#: The same as odd_orders() in SQL, and an integer as a long that has wrapped.
+ODD = "(SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 100000000000 AS big, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS urgency, CASE WHEN o_orderkey % 7 = 0 THEN CAST('NaN' AS DOUBLE) WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS x FROM orders)"
+WRAPPED = "CAST((({}) + CAST(9223372036854775808 AS HUGEINT)) % CAST(18446744073709551616 AS HUGEINT) - CAST(9223372036854775808 AS HUGEINT) AS BIGINT)"
+
+
+def on_odd(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: Engine(spark).query(query, odd_orders(spark, sf_dir))
+
+
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' JSON text against a schema, in the dynamic lane."""
+    from docloom.operators.schemas import validate
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
+    found = validate(events, {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 80}}}, "props")
+    return found.select("event_id", F.array_join(F.transform("problems", lambda p: p["kind"]), ",").alias("kinds"))
+
+
+def yaml_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.sources.sinks import formatted
+
+    docs = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.to_json(F.struct("n_name", "n_regionkey")).alias("value"))
+    return formatted(docs, "yaml").select("n_nationkey", "text")
+
+
+def ini_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.sources.sinks import formatted
+
+    docs = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.to_json(F.struct(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region")).alias("nation"))).alias("value"))
+    return formatted(docs, "ini").select("n_nationkey", "text")
+
+
+def pretty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.sources.sinks import formatted
+
+    docs = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.to_json(F.struct("n_name", F.array("n_regionkey", "n_nationkey").alias("ids"))).alias("value"))
+    return formatted(docs, "g").select("n_nationkey", "text")
+
+
+def lint_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of several degrees of correctness, by the tolerant reader."""
+    from docloom.dynamic.lane import lints
+
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    text = F.when(F.col("n_nationkey") % 4 == 0, F.to_json(F.struct("n_name"))).when(F.col("n_nationkey") % 4 == 1, F.concat(F.lit("{n_name: '"), "n_name", F.lit("',}"))).when(F.col("n_nationkey") % 4 == 2, F.concat(F.lit("[1 /* "), "n_name", F.lit(" */]"))).otherwise(F.lit("@"))
+    found = lints(nation.select("n_nationkey", text.alias("value")))
+    return found.select("n_nationkey", "json", "level")
+
+
+def by_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.sources.readers import by_pattern
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat_ws("\n", F.concat_ws(" ", "p_partkey", "p_brand"), F.lit("no row"), F.concat_ws(" ", F.lit(0), "p_brand")).alias("value"))
+    return by_pattern(parts, "value", r"^(INT) Brand#(\d+)$").toDF("key", "brand")
+
+
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "nested_hof": (nested_sum, "SELECT c_custkey AS k, count(o_orderkey) AS n, round_even(coalesce(sum(o_totalprice), 0), 2) AS total, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS open, CAST(any_value(length(c_name)) AS BIGINT) AS names FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
     "tabularize_default": (tabularize_default, "SELECT c_custkey, c_name AS who_c_name, c_nationkey AS who_c_nationkey, o_orderkey AS orders_o_orderkey, o_totalprice AS orders_o_totalprice, o_orderstatus AS orders_o_orderstatus FROM customer JOIN orders ON c_custkey = o_custkey"),
     "tabularize_strings": (tabularize_strings, "SELECT c_custkey, any_value(c_name) AS name, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
     "tabularize_arrays": (tabularize_arrays, "SELECT l_orderkey, l_quantity AS quantity FROM lineitem"),
-    "tabularize_recursive": (tabularize_recursive, "SELECT vec_id, label AS v_label, embedding[1] AS v_e_col1, embedding[2] AS v_e_col2 FROM embeddings"),
+    "tabularize_recursive": (tabularize_recursive, "SELECT vec_id, label AS v_label, " + ", ".join(f"embedding[{i}] AS v_e_col{i}" for i in range(1, 65)) + " FROM embeddings"),
     "validate_orders": (validate_orders, "SELECT o_orderkey, concat_ws(';', CASE WHEN o_totalprice < 1000 THEN 'o_totalprice:minimum' END, CASE WHEN o_totalprice >= 400000 THEN 'o_totalprice:exclusiveMaximum' END, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'o_orderstatus:enum' END, CASE WHEN NOT regexp_matches(o_orderpriority, '^[1-3]') THEN 'o_orderpriority:pattern' END) AS problems FROM orders"),
     "parse_json": (parse_json, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) * 2 AS double FROM events"),
     "dynamic_group": (dynamic_group, "SELECT c_custkey, count(DISTINCT o_orderstatus) AS statuses FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
     "embedded_json": (embedded_json, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
-    "infer_schema": (infer_schema, None),
+    "infer_schema": (infer_schema, """SELECT CASE WHEN bool_and(json_type(props, '$.k') IN ('UBIGINT', 'BIGINT')) THEN '{"$schema": "http://json-schema.org/schema#", "properties": {"k": {"type": "integer"}}, "required": ["k"], "type": "object"}' END AS schema FROM events"""),
+    "odd_arith": (on_odd("@[:]{k: @.o_orderkey, a: @.big * @.big + 7, b: 5 - @.big * 3000, c: -@.big * @.big, d: @.x * 2, e: isnull(@.x), f: isna(@.x)}"), "SELECT o_orderkey AS k, " + WRAPPED.format("CAST(big AS HUGEINT) * big + 7") + " AS a, " + WRAPPED.format("5 - CAST(big AS HUGEINT) * 3000 + 18446744073709551616 * CAST(1000000000 AS HUGEINT)") + " AS b, " + WRAPPED.format("18446744073709551616 * CAST(9000000000000000000 AS HUGEINT) - CAST(big AS HUGEINT) * big") + f" AS c, x * 2 AS d, x IS NULL AS e, coalesce(isnan(x), false) AS f FROM {ODD}"),
+    "odd_filter": (on_odd("@[:][@.urgency < `3`]{k: @.o_orderkey, u: @.urgency}"), f"SELECT o_orderkey AS k, urgency AS u FROM {ODD} WHERE urgency IS NULL OR urgency < '3'"),
+    "odd_order": (on_odd("@[:]{k: @.o_orderkey, a: @.urgency >= `3`, b: @.urgency == null, c: @.urgency != `2-HIGH`}"), f"SELECT o_orderkey AS k, coalesce(urgency >= '3', false) AS a, urgency IS NULL AS b, urgency IS DISTINCT FROM '2-HIGH' AS c FROM {ODD}"),
+    "odd_groups": (on_odd("group_by(@, urgency).*{n: len(@), many: len(@[:].x), distinct: len(unique(@[:].big))}"), f"SELECT urgency, count(*) AS n, count(*) AS many, count(DISTINCT big) AS distinct FROM {ODD} GROUP BY urgency"),
+    "odd_text": (on_odd("@[:]{k: @.o_orderkey, t: stringify(@[urgency, o_orderkey])}"), f"""SELECT o_orderkey AS k, '{{"o_orderkey":' || o_orderkey || ',"urgency":' || CASE WHEN urgency IS NULL THEN 'null' ELSE '"' || urgency || '"' END || '}}' AS t FROM {ODD}"""),
+    "odd_missing_key": (on_odd("@[:].nothing"), "SELECT CAST(NULL AS VARCHAR) AS value FROM orders WHERE false"),
+    "validate_documents": (validated, "SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) < 10 THEN 'minimum' WHEN CAST(json_extract(props, '$.k') AS BIGINT) > 80 THEN 'maximum' ELSE '' END AS kinds FROM events"),
+    "yaml_text": (yaml_text, "SELECT n_nationkey, 'n_name: ' || n_name || chr(10) || 'n_regionkey: ' || n_regionkey || chr(10) AS text FROM nation"),
+    "ini_text": (ini_text, "SELECT n_nationkey, '[nation]' || chr(10) || 'name=' || n_name || chr(10) || 'region=' || n_regionkey || chr(10) AS text FROM nation"),
+    "pretty_text": (pretty_text, """SELECT n_nationkey, '{' || chr(10) || '    "ids": [' || chr(10) || '        ' || n_regionkey || ',' || chr(10) || '        ' || n_nationkey || chr(10) || '    ],' || chr(10) || '    "n_name": "' || n_name || '"' || chr(10) || '}' AS text FROM nation"""),
+    "lint_levels": (lint_levels, """SELECT n_nationkey, CASE n_nationkey % 4 WHEN 2 THEN '[1]' WHEN 3 THEN NULL ELSE '{"n_name": "' || n_name || '"}' END AS json, CASE n_nationkey % 4 WHEN 0 THEN 'STRICT' WHEN 1 THEN 'JSON5' WHEN 2 THEN 'JSONC' ELSE 'FATAL' END AS level FROM nation"""),
+    "by_regex": (by_regex, "SELECT CAST(p_partkey AS VARCHAR) AS key, substr(p_brand, 7) AS brand FROM part UNION ALL SELECT '0', substr(p_brand, 7) FROM part"),
 }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.errors import QueryError, Untyped
 from docloom.plans import tree as t
 from docloom.plans.parser import parse
-from docloom.plans.typed import ABSENT, Aggregate, Compiler, Groups, Relation, Row, Value, joined, quoted, relation
+from docloom.plans.typed import ABSENT, Aggregate, Compiler, Groups, Order, Relation, Row, Value, joined, ordered, quoted, relation
 
 
 class Engine:
@@ -18,10 +18,16 @@ class Engine:
         self.spark, self.tables = spark, tables
 
     def query(self, text: str, df: DataFrame, order: tuple = ()) -> DataFrame:
-        """The result of a query whose input is the rows of df. An array of objects is a DataFrame of their keys; of scalars, one of a column `value`; a single value is one row."""
+        """The result of a query whose input is the rows of df, sorted by the columns that order names (`-` before a name: descending). An array of objects is a DataFrame of their keys; of scalars, one of a column `value`; a single value is one row."""
         names = {n: relation(d) for n, d in self.tables.items()}
+        try:
+            return self._typed(text, df, order, names)
+        except Untyped as e:
+            raise Untyped(f"{e} (query_documents() runs it on each document, in the dynamic lane)") from e
+
+    def _typed(self, text: str, df: DataFrame, order: tuple, names: dict) -> DataFrame:
         compiler = Compiler(names)
-        at = relation(df, order)
+        at = relation(df, tuple(Order(quoted(c.lstrip("-")), c.startswith("-")) for c in order))
         out = at
         for statement in parse(text, frozenset(names)):
             if isinstance(statement, t.Define):
@@ -52,7 +58,7 @@ def frame(spark: SparkSession, x) -> DataFrame:
             out = df.select(x.item.c.alias("__item")).select("__item.*")
         else:
             out = df.select(x.item.c.alias("value"))
-        return df.orderBy(*x.order).select(*_columns(x)) if x.order else out
+        return ordered(df, x.order).select(*_columns(x)) if x.order else out
     if isinstance(x, Aggregate):
         out = joined(x.df, x.joins).agg(x.c.alias("value"))
         return out.select("value.*") if hasattr(x.type, "fields") else out

@@ -27,9 +27,11 @@ def template(by: str) -> str:
 
 @lru_cache(maxsize=128)
 def csv_row(columns: int, delimiter: str = ",", newline: str = "\r\n", quote: str = '"') -> str:
-    """The pattern of a row of so many columns."""
+    """The pattern of a record of so many fields, a group each, after RFC 4180: a field is quoted, with quotes doubled inside, or plain up to the delimiter. Other than there, the marks can be chosen, a plain field may have quotes behind its first character, and the last record may end with the text."""
     d, q = regex.escape(delimiter, special_only=True), regex.escape(quote, special_only=True)
-    end = regex.escape(newline).replace("\\\r", "\\r").replace("\\\n", "\\n")
-    first = newline[0].replace("\r", "\\r").replace("\n", "\\n")
-    column = f"((?!{q})(?:(?!{d})[^\\r\\n])*(?<!{q})|{q}(?:[^{q}]|{q}{q})*{q})"
-    return f"(?:\\A|(?<={first if newline != chr(13) + chr(10) else chr(92) + 'n'}))" + d.join([column] * columns) + f"(?:{end}|\\z)"
+    plain = f"(?:[^{q}{d}\\r\\n][^{d}\\r\\n]*)?"
+    field = f"({q}(?:{q}{q}|[^{q}])*{q}|{plain})"
+    breaks = {"\r": "\\r", "\n": "\\n"}
+    end = "".join(breaks.get(c, regex.escape(c)) for c in newline)
+    # a record starts where nothing but a line's end stands before
+    return f"(?<![^{breaks.get(newline[-1], regex.escape(newline[-1]))}])" + d.join([field] * columns) + f"(?:{end}|\\z)"

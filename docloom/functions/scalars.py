@@ -6,31 +6,36 @@ null; a number counts as true unless it is 0, a string or container unless it is
 
 from __future__ import annotations
 
+import json
 import re
-from contextlib import contextmanager
+from decimal import Decimal
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.errors import Untyped
 
 LONG, DOUBLE, BOOL, STRING, NULL = T.LongType(), T.DoubleType(), T.BooleanType(), T.StringType(), T.NullType()
-#: What (INT) and (NUMBER) stand for in patterns.
-INT_PATTERN = r"[+-]?(?:0[xX][\da-fA-F]+|\d+)"
-NUMBER_PATTERN = r"[+-]?(?:0[xX][\da-fA-F]+|(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?)"
+# What (INT) and (NUMBER) stand for in patterns (without the group around them).
+INT_PATTERN = r"[+-]?(?:0x[\da-fA-F]+|\d+)"
+NUMBER_PATTERN = r"[+-]?(?:0x[\da-fA-F]+|\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
 
 
-@contextmanager
-def wrapping():
-    """Expressions built inside wrap on overflow and don't fail on division by zero."""
-    spark = SparkSession.active()
-    was = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", was)
+def wrapped(c: Column) -> Column:
+    """A decimal as a long, modulo 2**64."""
+    two64 = F.lit(Decimal(1 << 64))
+    low = F.pmod(c, two64)
+    return F.when(low >= F.lit(Decimal(1 << 63)), low - two64).otherwise(low).cast("long")
+
+
+def wrapping(op: str, x: Column, y: Column) -> Column:
+    """Longs added, subtracted or multiplied, modulo 2**64 whatever the session says of overflow: exactly in decimals where a long doesn't do."""
+    a, b = x.cast("decimal(20,0)"), y.cast("decimal(20,0)")
+    # products of two longs have 38 digits at most
+    plain = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](x, y)
+    exact = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: x.cast("decimal(19,0)") * y.cast("decimal(19,0)")}[op]()
+    return F.coalesce(plain, wrapped(exact.cast("decimal(38,0)")))
 
 
 def is_integer(t: T.DataType) -> bool:
@@ -84,8 +89,19 @@ def condition(c: Column, t: T.DataType) -> Column:
 
 
 def double_text(c: Column) -> Column:
-    """A double as JSON text: whole numbers end in .0; infinities and NaN in words. Others as Spark prints them, which is the shortest text that reads back."""
-    return c.cast("string")
+    """A double as JSON text: whole numbers end in .0, infinities and NaN are words, and exponents (from 16 digits, or below 1e-4) have a sign and two digits."""
+    plain = c.cast("string")
+    part = lambda k: F.regexp_extract(plain, r"^(-?)(\d)\.(\d+)E(-?\d+)$", k)
+    sign, first, e = part(1), part(2), part(4).try_cast("int")
+    rest = F.when(part(3) == "0", F.lit("")).otherwise(part(3))
+    digits = F.concat(first, rest)
+    mantissa = F.concat(first, F.when(rest == "", F.lit("")).otherwise(F.concat(F.lit("."), rest)))
+    power = F.concat(F.when(e < 0, F.lit("E-")).otherwise(F.lit("E+")), F.when(F.abs(e) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(e).cast("string"))
+    after = F.when(F.length(digits) > e + 1, F.substring(digits, e + 2, F.lit(20))).otherwise(F.lit("0"))
+    large = F.concat(F.rpad(digits, e + 1, F.lit("0")), F.lit("."), after)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(F.lit(0), -e - 1)), digits)
+    written = F.when((e >= 16) | (e < -4), F.concat(mantissa, power)).when(e > 0, large).otherwise(small)
+    return F.when(plain.contains("E"), F.concat(sign, written)).otherwise(plain)
 
 
 def as_text(c: Column, t: T.DataType) -> Column:
@@ -99,7 +115,10 @@ def as_text(c: Column, t: T.DataType) -> Column:
     elif isinstance(t, T.NullType):
         return F.lit("null")
     else:
-        out = F.to_json(c)
+        try:
+            out = json_text(c, t, ", ", ": ")
+        except Untyped:  # maps
+            out = F.to_json(c, {"ignoreNullFields": "false"})
     return F.coalesce(out, F.lit("null"))
 
 
@@ -122,7 +141,11 @@ def binary(op: str, a: tuple[Column, T.DataType], b: tuple[Column, T.DataType])
             raise Untyped(f"a {tx.simpleString()} can't be compared with a {ty.simpleString()}")
         if is_number(tx) and tx != ty and not (is_integer(tx) and is_integer(ty)):
             x, y = as_double(x, tx), as_double(y, ty)
-        return {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op], BOOL
+        out = {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
+        if is_text(tx):  # null is below all strings
+            no_x, no_y = x.isNull(), y.isNull()
+            out = (~no_x & ~no_y & out) | {"<": no_x & ~no_y, ">": ~no_x & no_y, "<=": no_x, ">=": no_y}[op]
+        return out, BOOL
     if op == "=~":
         if not is_text(tx) or not is_text(ty):
             raise Untyped("=~ needs strings")
@@ -152,9 +175,9 @@ def binary(op: str, a: tuple[Column, T.DataType], b: tuple[Column, T.DataType])
     if op == "%":
         at_zero = zero.cast("long") if both_long else F.lit(float("nan"))
         return F.when(y == 0, at_zero).otherwise(x % y), LONG if both_long else DOUBLE
-    with wrapping():
-        out = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y}[op]()
-    return out, LONG if both_long else DOUBLE
+    if both_long:
+        return wrapping(op, x, y), LONG
+    return {"+": x + y, "-": x - y, "*": x * y}[op], DOUBLE
 
 
 def unary(op: str, a: tuple[Column, T.DataType]) -> tuple[Column, T.DataType]:
@@ -163,8 +186,7 @@ def unary(op: str, a: tuple[Column, T.DataType]) -> tuple[Column, T.DataType]:
     c, t = as_number(*a)
     if op == "+":
         return c, t
-    with wrapping():
-        return -c, t
+    return (wrapping("-", F.lit(0).cast("long"), c), t) if t == LONG else (-c, t)
 
 
 def java_pattern(pattern: str, macros: bool = True) -> str:
@@ -187,8 +209,7 @@ def parse_number(c: Column) -> Column:
     """A string as a double: decimal, or 0x hexadecimal with a sign."""
     sign = F.when(c.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
     hexadecimal = F.regexp_extract(c, r"^[+-]?0[xX]([0-9a-fA-F]+)$", 1)
-    with wrapping():
-        return F.when(hexadecimal != "", sign * F.conv(hexadecimal, 16, 10).cast("double")).otherwise(c.cast("double"))
+    return F.when(hexadecimal != "", sign * F.conv(hexadecimal, 16, 10).cast("double")).otherwise(c.cast("double"))
 
 
 def utf16_length(c: Column) -> Column:
@@ -205,3 +226,36 @@ def padded(c: Column, pad: str, n: int, left: bool) -> Column:
     copies = F.greatest(F.lit(0), F.ceil((F.lit(n) - F.length(c)) / F.lit(max(1, len(pad))))).cast("int")
     more = F.repeat(F.lit(pad), copies)
     return F.concat(more, c) if left else F.concat(c, more)
+
+
+#: Characters whose upper case is several characters, by Unicode's rules: they stay as they are.
+GROWING = "".join(c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1)
+
+
+def upper(c: Column) -> Column:
+    slow = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(f"[{GROWING}]"), x).otherwise(F.upper(x))), "")
+    return F.when(c.rlike(f"[{GROWING}]"), slow).otherwise(F.upper(c))
+
+
+def key_order(name: str) -> tuple[str, str]:
+    return name.lower(), name.swapcase()
+
+
+def json_text(c: Column, t: T.DataType, comma: str = ",", colon: str = ":", sort_keys: bool = True) -> Column:
+    """JSON text of a value of any type without maps: null keys stay, and numbers have their canonical text."""
+    null = F.lit("null")
+    if isinstance(t, T.StructType):
+        fields = sorted(t.fields, key=lambda f: key_order(f.name)) if sort_keys else t.fields
+        parts = []
+        for k, f in enumerate(fields):
+            parts += [F.lit((comma if k else "") + json.dumps(f.name, ensure_ascii=False) + colon), json_text(c.getField(f.name), f.dataType, comma, colon, sort_keys)]
+        return F.when(c.isNull(), null).otherwise(F.concat(F.lit("{"), *parts, F.lit("}")))
+    if isinstance(t, T.ArrayType):
+        inner = F.array_join(F.transform(c, lambda x: json_text(x, t.elementType, comma, colon, sort_keys)), comma)
+        return F.when(c.isNull(), null).otherwise(F.concat(F.lit("["), inner, F.lit("]")))
+    if isinstance(t, T.MapType):
+        raise Untyped("JSON text of a map")
+    if is_text(t):
+        quoted = F.to_json(F.array(c.cast("string")))
+        return F.when(c.isNull(), null).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    return as_text(c, t)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.dynamic.lane import mapped, ship
 from docloom.errors import JsonError
@@ -66,38 +67,42 @@ def as_schema(p: dict | None) -> dict:
     return parts[0] if len(parts) == 1 else {"anyOf": parts}
 
 
-def infer(documents: DataFrame, column: str = "value") -> dict:
-    """The JSON Schema of all documents (JSON text) of a column. Each task merges its own; tens of partial schemas meet at a time."""
+def infer_counted(documents: DataFrame, column: str = "value") -> tuple[dict, int]:
+    """The JSON Schema of all documents (JSON text) of a column, and the number of documents that can't be read. Each task merges its own; tens of partial schemas meet at a time."""
     from docloom.dynamic import reader
 
     ship(documents)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        out, bad = None, 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                if text is None:
-                    continue
                 try:
-                    out = merged(out, partial(reader.parse(text)))
+                    if text is not None:
+                        out = merged(out, partial(reader.parse(text)))
                 except JsonError:
-                    continue
-        if out is not None:
-            yield pa.RecordBatch.from_pydict({"part": [json.dumps(out)]})
+                    bad += 1
+        yield pa.RecordBatch.from_pydict({"part": [json.dumps([out, bad])]})
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        out, bad = None, 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                out = merged(out, json.loads(text))
-        if out is not None:
-            yield pa.RecordBatch.from_pydict({"part": [json.dumps(out)]})
+                more, n = json.loads(text)
+                out, bad = merged(out, more) if more is not None else out, bad + n
+        yield pa.RecordBatch.from_pydict({"part": [json.dumps([out, bad])]})
 
     parts = documents.select(column).mapInArrow(part, "part string").repartition(16).mapInArrow(join, "part string")
-    out = None
+    out, bad = None, 0
     for r in parts.collect():  # 16 at most
-        out = merged(out, json.loads(r[0]))
-    return {"$schema": DIALECT} | as_schema(out)
+        more, n = json.loads(r[0])
+        out, bad = merged(out, more) if more is not None else out, bad + n
+    return {"$schema": DIALECT} | as_schema(out), bad
+
+
+def infer(documents: DataFrame, column: str = "value") -> dict:
+    """The JSON Schema of all documents (JSON text) of a column; those that can't be read teach nothing (infer_counted() says how many they are)."""
+    return infer_counted(documents, column)[0]
 
 
 # --- validation
@@ -183,6 +188,12 @@ def validate(documents: DataFrame, schema: dict, column: str = "value", most: in
     return mapped(documents, column, one, "problems array<struct<kind: string, path: string, message: string>>")
 
 
+def kind_of(t: T.DataType) -> str:
+    """What JSON Schema calls the values of a column."""
+    kinds = ((T.BooleanType, "boolean"), ((T.ByteType, T.ShortType, T.IntegerType, T.LongType), "integer"), (T.NumericType, "number"), (T.ArrayType, "array"), ((T.StructType, T.MapType), "object"), (T.NullType, "null"))
+    return next((n for k, n in kinds if isinstance(t, k)), "string")
+
+
 def validate_columns(df: DataFrame, schema: dict) -> DataFrame:
     """The rows of a relation with problems (names of the broken keywords, as key:keyword), by Column expressions alone: type, required, enum, pattern, lengths and bounds of scalar keys."""
     from docloom.plans.typed import quoted
@@ -194,6 +205,12 @@ def validate_columns(df: DataFrame, schema: dict) -> DataFrame:
                 checks.append(F.lit(f"{name}:required"))
             continue
         c = quoted(name)
+        kinds = [s["type"]] if isinstance(s.get("type"), str) else s.get("type")
+        if kinds:
+            held = kind_of(df.schema[name].dataType)
+            # a double that is whole is an integer, too, and null is a kind of its own
+            whole = (c == F.floor(c)) if held == "number" and "integer" in kinds and "number" not in kinds else F.lit(held in kinds or held == "integer" and "number" in kinds)
+            checks.append(F.when(~whole if "null" in kinds else ~(whole & c.isNotNull()), F.lit(f"{name}:type")))
         bad = {
             "enum": lambda v, c=c: ~c.isin(*v), "pattern": lambda v, c=c: ~c.rlike(v), "minLength": lambda v, c=c: F.length(c) < v, "maxLength": lambda v, c=c: F.length(c) > v,
             "minimum": lambda v, c=c: c < v, "maximum": lambda v, c=c: c > v, "exclusiveMinimum": lambda v, c=c: c <= v, "exclusiveMaximum": lambda v, c=c: c >= v,

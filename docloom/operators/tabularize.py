@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.errors import QueryError
+from docloom.errors import QueryError, Untyped
+from docloom.functions.scalars import json_text
 from docloom.plans.typed import quoted
 
 
@@ -43,10 +44,19 @@ def tables(t: T.DataType, at: tuple = ()) -> list[tuple]:
     return []
 
 
+def json_of(f: T.StructField) -> Column:
+    """A column's JSON text, null keys among it."""
+    c = quoted(f.name)
+    try:
+        return F.when(c.isNotNull(), json_text(c, f.dataType, sort_keys=False))
+    except Untyped:  # maps
+        return F.to_json(c, {"ignoreNullFields": "false"})
+
+
 def tabularize(df: DataFrame, strategy: str = "d", separator: str = ".") -> DataFrame:
     """The flat form of a relation by one of the strategies."""
     if strategy == "s":
-        return df.select(*(quoted(f.name) if is_scalar(f.dataType) else F.to_json(quoted(f.name)).alias(f.name) for f in df.schema.fields))
+        return df.select(*(quoted(f.name) if is_scalar(f.dataType) else json_of(f).alias(f.name) for f in df.schema.fields))
     if strategy == "r":
         return recursive(df, separator)
     found = tables(df.schema)
@@ -133,7 +143,7 @@ def recursive(df: DataFrame, separator: str) -> DataFrame:
                 width = widths[next(i for i, a in enumerate(arrays) if a.name == f.name)] or 0
                 columns += [F.get(quoted(f.name), F.lit(i)).alias(f"{f.name}{separator}col{i + 1}") for i in range(width)]
             elif isinstance(f.dataType, T.MapType):
-                columns.append(F.to_json(quoted(f.name)).alias(f.name))
+                columns.append(json_of(f).alias(f.name))
             else:
                 columns.append(quoted(f.name))
         df = df.select(*columns)

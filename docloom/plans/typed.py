@@ -14,7 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -299,6 +299,8 @@ class Compiler:
                     condition = self.eval(rest[0].condition, x.item)
                     if isinstance(condition, Value) and not isinstance(condition.type, T.ArrayType):
                         return self.each(self.kept(replace(x, joins=joins), condition), rest[1:])
+                if isinstance(rest[0], t.Keys) and t.yields_one(rest[0]) and isinstance(x.item.type, T.StructType) and rest[0].items[0] not in x.item.type.fieldNames():
+                    return scalar_relation(joined(x.df, x.joins).where(F.lit(False)).select(F.lit(None).cast("string").alias("value")))  # no row has the key
                 taken = 1
                 while taken < len(rest) and t.yields_one(rest[taken - 1]) and not isinstance(rest[taken], t.Mask):
                     taken += 1
@@ -517,7 +519,7 @@ class Compiler:
         if len(first.items) == 1 and not first.negated and isinstance(first.items[0], tuple):
             a, b, step = first.items[0]
             if (step or 1) == 1 and (a or 0) >= 0 and (b is None or b >= 0):
-                df = x.df.orderBy(*x.order) if x.order else x.df
+                df = ordered(x.df, x.order)
                 if a:
                     df = df.offset(a)
                 if b is not None:
@@ -591,7 +593,7 @@ class Compiler:
                 return self.chain(relation(made), rest)
             raise Untyped("a projection of groups that isn't an aggregate")
         if isinstance(body, t.Slots) and t.yields_one(body) and body.items[0] in (0, -1) and g.relation.order:
-            window = Window.partitionBy(*(k.c for k in g.keys)).orderBy(*(g.relation.order if body.items[0] == 0 else [_reverse(o) for o in g.relation.order]))
+            window = Window.partitionBy(*(k.c for k in g.keys)).orderBy(*((o if body.items[0] == 0 else o.reversed).column for o in g.relation.order))
             got = df.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
             return self.each(relation(got), rest)
         if not isinstance(body, (t.MakeArray, t.MakeObject)):
@@ -619,8 +621,9 @@ class Compiler:
         wanted = self.field(r.item, indexers[1].items[0])
         of_key = x.groups.keys[0]
         table = joined(r.df, r.joins).groupBy(s.as_text(*of_key.pair).alias(key)).agg(F.first(wanted.c).alias(name))
-        self.joins[-1].append((table, s.as_text(*x.key.pair) == F.col(key), "inner"))
-        return self.chain(Value(F.col(name), wanted.type), indexers[2:])
+        self.joins[-1].append((table, s.as_text(*x.key.pair) == F.col(key), "left"))
+        missing = F.raise_error(F.concat(F.lit("no group of the key "), s.as_text(*x.key.pair))).cast(wanted.type)
+        return self.chain(Value(F.when(F.col(key).isNull(), missing).otherwise(F.col(name)), wanted.type), indexers[2:])
 
     # --- functions
 
@@ -641,11 +644,24 @@ def _refers(item: Value, joins: list) -> bool:
     return any(n in text for j in joins for n in j[0].columns if n.startswith("__"))
 
 
-def _reverse(c: Column) -> Column:
-    """The opposite sort column."""
-    text = str(c)
-    inner = F.expr(re.sub(r" (ASC|DESC).*", "", re.sub(r"^Column<'(.*)'>$", r"\1", text)))
-    return inner.asc() if "DESC" in text else inner.desc()
+@dataclass(frozen=True)
+class Order:
+    """A sort column: descending ones have nulls last, others first."""
+
+    c: Column
+    descending: bool = False
+
+    @property
+    def column(self) -> Column:
+        return self.c.desc_nulls_last() if self.descending else self.c.asc_nulls_first()
+
+    @property
+    def reversed(self) -> Order:
+        return Order(self.c, not self.descending)
+
+
+def ordered(df: DataFrame, order: tuple) -> DataFrame:
+    return df.orderBy(*(o.column for o in order)) if order else df
 
 
 def _any(conditions) -> Column:
@@ -685,15 +701,24 @@ def _concatenated(found: list[Value]) -> Value:
     return Value(F.concat(*(v.c for v in found)), found[0].type) if len(found) > 1 else found[0]
 
 
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that spark.checkpoint.dir names; only a local session without that setting gets a folder of its own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise QueryError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile
+
+            found = tempfile.mkdtemp(prefix="docloom-")
+        spark.sparkContext.setCheckpointDir(found)
+
+
 def indexed(x: Relation) -> tuple[DataFrame, Column, Column]:
     """The relation's rows with their number, and the column of the number of rows. The sorted rows are checkpointed, so that numbers stay; a partition's rows are numbered from the sum of those before it."""
-    spark = x.df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
+    shared_checkpoints(x.df.sparkSession)
     df = joined(x.df, x.joins)
-    df = (df.orderBy(*x.order) if x.order else df).withColumn("__mono", F.monotonically_increasing_id()).checkpoint()
+    df = ordered(df, x.order).withColumn("__mono", F.monotonically_increasing_id()).checkpoint()
     part, within = F.shiftright("__mono", 33), F.col("__mono").bitwiseAND((1 << 33) - 1)
     sizes = df.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))
     by_part = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition

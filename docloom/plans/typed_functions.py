@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from docloom.errors import QueryError, Untyped
 from docloom.functions import scalars as s
 from docloom.plans import tree as t
-from docloom.plans.typed import ABSENT, Aggregate, Compiler, Groups, Lookup, Member, Relation, Row, Value, constant, indexed, joined, quoted, relation, scalar_relation
+from docloom.plans.typed import ABSENT, Aggregate, Compiler, Groups, Lookup, Member, Order, Relation, Row, Value, constant, indexed, joined, quoted, relation, scalar_relation
 
 
 def known(v, what: str):
@@ -168,24 +168,18 @@ def sort_keys(v: Value, descending: bool) -> tuple:
         keys = (~F.isnan(v.c), v.c)
     else:
         keys = (v.c,)
-    return tuple(k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys)
+    return tuple(Order(k, descending) for k in keys)
 
 
 def sort_by(c: Compiler, x, key, descending=None):
     down = bool(known(descending, "the direction")) if descending is not None else False
     if isinstance(x, Relation):
         _, v = key_of(x, key)
-        before = tuple(_turned(o) for o in x.order) if down else x.order
+        before = tuple(o.reversed for o in x.order) if down else x.order
         return Relation(x.df, x.item, object(), (*sort_keys(v, down), *before), x.joins)
     raise Untyped("sort_by of an array")
 
 
-def _turned(o: Column) -> Column:
-    from docloom.plans.typed import _reverse
-
-    return _reverse(o)
-
-
 def sorted_(c: Compiler, x, descending=None):
     down = bool(known(descending, "the direction")) if descending is not None else False
     if isinstance(x, Relation):
@@ -202,7 +196,7 @@ def by_callback(c: Compiler, node: t.Call, at):
     v = c.eval(node.args[1], x.item)
     if node.name == "sort_by":
         down = bool(known(c.eval(node.args[2], at), "the direction")) if len(node.args) > 2 else False
-        return Relation(x.df, x.item, object(), (*sort_keys(v, down), *(map(_turned, x.order) if down else x.order)), x.joins)
+        return Relation(x.df, x.item, object(), (*sort_keys(v, down), *((o.reversed for o in x.order) if down else x.order)), x.joins)
     return best(x, v, node.name == "max_by")
 
 
@@ -236,7 +230,7 @@ def distinct(c: Compiler, x, ordered=None):
         if isinstance(x.item.type, (T.ArrayType, T.MapType, T.StructType)):
             raise QueryError("unique takes scalars only")
         df = joined(x.df, x.joins).select(x.item.c.alias("value")).distinct()
-        out = Unique(df, Value(F.col("value"), x.item.type), object(), (F.col("value").asc_nulls_first(),) if ordered is not None and known(ordered, "the order") else ())
+        out = Unique(df, Value(F.col("value"), x.item.type), object(), (Order(F.col("value")),) if ordered is not None and known(ordered, "the order") else ())
         # its length is one distinct count over the rows before
         out.df, out.joins, out.source = (x.df, x.joins, x.origin) if x.grouped else (df, [], None)
         if x.grouped:
@@ -263,7 +257,7 @@ def value_counts(c: Compiler, x, ordered=None):
         df = joined(x.df, x.joins).groupBy(x.item.c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
         out = relation(df)
         if ordered is not None and known(ordered, "the order"):
-            out.order = (F.col("count").desc(), F.col("value").asc_nulls_first())
+            out.order = (Order(F.col("count"), True), Order(F.col("value")))
         return out
     raise Untyped("value_counts of an array")
 
@@ -275,7 +269,8 @@ def quantile(c: Compiler, x, q):
     a = F.array_sort(F.transform(x.c, lambda e: s.as_double(e, x.type.elementType)))
     place = (F.size(a) - 1) * F.lit(float(p))
     low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
-    return Value(F.get(a, low) + (F.get(a, high) - F.get(a, low)) * (place - low), s.DOUBLE)
+    none = F.raise_error(F.lit("a quantile of nothing")).cast("double")
+    return Value(F.when(F.size(a) == 0, none).otherwise(F.get(a, low) + (F.get(a, high) - F.get(a, low)) * (place - low)), s.DOUBLE)
 
 
 def concat(c: Compiler, *xs):
@@ -368,7 +363,7 @@ def enumerate_(c: Compiler, x):
     if isinstance(x, Relation):
         df, _, at = indexed(x)
         out = df.select(at.alias("_1"), x.item.c.alias("_2"))
-        return relation(out, (F.col("_1").asc(),))
+        return relation(out, (Order(F.col("_1")),))
     kind = T.StructType([T.StructField("_1", s.LONG), T.StructField("_2", x.type.elementType)])
     return Value(F.transform(x.c, lambda e, i: F.struct(i.cast("long").alias("_1"), e.alias("_2"))), T.ArrayType(kind))
 
@@ -439,7 +434,7 @@ def pivot(c: Compiler, x, by, val, *more):
         raise Untyped("pivot with more columns")
     (_, k), (_, v) = key_of(x, by), key_of(x, val)
     df = joined(x.df, x.joins)
-    order = [o for o in x.order] or [v.c]
+    order = [o.column for o in x.order] or [v.c]
     at = Window.partitionBy(k.c).orderBy(*order)
     numbered = df.select(s.as_text(*k.pair).alias("key"), v.c.alias("v"), F.row_number().over(at).alias("n"))
     got = numbered.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda e: e["v"]).alias("values"))
@@ -617,7 +612,7 @@ def in_python(name: str, v: Value, kind: T.DataType, *rest, callback: t.Node | N
 
         return texts.map(one)
 
-    c = F.to_json(v.c) if as_json and isinstance(v.type, (T.StructType, T.ArrayType, T.MapType)) else s.as_text(*v.pair) if as_json else v.c.cast("string")
+    c = F.to_json(v.c, {"ignoreNullFields": "false"}) if as_json and isinstance(v.type, (T.StructType, T.ArrayType, T.MapType)) else s.as_text(*v.pair) if as_json else v.c.cast("string")
     return Value(run(c), kind)
 
 
@@ -645,6 +640,13 @@ def csv_regex(c: Compiler, n, *more):
 def stringify(c: Compiler, x, *more):
     if isinstance(x, Relation):
         raise Untyped("stringify of a relation")
+    style, sort_keys = (*given(more), None, None)[:2]
+    if len(more) <= 2 and (style or "m") in ("m", "c"):
+        marks = (",", ":") if (style or "m") == "m" else (", ", ": ")
+        try:
+            return Value(s.json_text(*x.pair, *marks, sort_keys is None or bool(sort_keys)), s.STRING)
+        except Untyped:  # maps
+            pass
     return in_python("stringify", x, s.STRING, *given(more))
 
 
@@ -706,7 +708,7 @@ ELEMENTS = {
     "s_len": lambda v: Value(s.utf16_length(text(v)), s.LONG),
     "s_lines": lambda v: Value(F.split(text(v), r"\r\n?|\n", -1), T.ArrayType(s.STRING)),
     "s_lower": lambda v: Value(F.lower(text(v)), s.STRING),
-    "s_upper": lambda v: Value(F.upper(text(v)), s.STRING),
+    "s_upper": lambda v: Value(s.upper(text(v)), s.STRING),
     "s_lpad": lambda v, pad, n: Value(s.padded(text(v), known(pad, "the padding"), known(n, "the length"), True), s.STRING),
     "s_rpad": lambda v, pad, n: Value(s.padded(text(v), known(pad, "the padding"), known(n, "the length"), False), s.STRING),
     "s_mul": lambda v, n: Value(F.repeat(text(v), F.greatest(n.c, F.lit(0)).cast("int")), s.STRING),

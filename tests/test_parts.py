@@ -17,32 +17,32 @@ from docloom.operators import find, generate, schemas
 from docloom.operators.tabularize import classify, tabularize
 from docloom.sources import globs, readers, sinks
 
-TEAMS = [{"name": "a", "city": {"zip": 1, "town": "x"}, "players": [{"name": "p", "hits": [1, 2]}, {"name": "q", "hits": [3]}]}, {"name": "b", "city": {"zip": 2, "town": "y"}, "players": []}]
+ROUTES = [{"line": "a", "depot": {"floor": 1, "street": "x"}, "trains": [{"kind": "p", "cars": [1, 2]}, {"kind": "q", "cars": [3]}]}, {"line": "b", "depot": {"floor": 2, "street": "y"}, "trains": []}]
 
 
 @pytest.fixture(scope="module")
-def teams(spark):
-    return spark.createDataFrame([(t["name"], (t["city"]["zip"], t["city"]["town"]), [(p["name"], p["hits"]) for p in t["players"]]) for t in TEAMS], "name string, city struct<zip: long, town: string>, players array<struct<name: string, hits: array<long>>>")
+def routes(spark):
+    return spark.createDataFrame([(t["line"], (t["depot"]["floor"], t["depot"]["street"]), [(p["kind"], p["cars"]) for p in t["trains"]]) for t in ROUTES], "line string, depot struct<floor: long, street: string>, trains array<struct<kind: string, cars: array<long>>>")
 
 
-def test_tabularize_in_both_lanes(teams):
-    rows = [r.asDict() for r in tabularize(teams, "d").collect()]
-    assert sorted(rows, key=str) == sorted(to_table(TEAMS), key=str)
-    assert len(rows) == 3 and rows[0]["city.zip"] == 1
+def test_tabularize_in_both_lanes(routes):
+    rows = [r.asDict() for r in tabularize(routes, "d").collect()]
+    assert sorted(rows, key=str) == sorted(to_table(ROUTES), key=str)
+    assert len(rows) == 3 and rows[0]["depot.floor"] == 1
 
 
-def test_tabularize_strategies(teams):
-    wide = tabularize(teams.select("name", "city"), "r")
-    assert wide.columns == ["name", "city.zip", "city.town"]
-    assert tabularize(teams, "s").first()["city"] == '{"zip":1,"town":"x"}'
+def test_tabularize_strategies(routes):
+    wide = tabularize(routes.select("line", "depot"), "r")
+    assert wide.columns == ["line", "depot.floor", "depot.street"]
+    assert tabularize(routes, "s").first()["depot"] == '{"floor":1,"street":"x"}'
     with pytest.raises(QueryError):
-        tabularize(teams, "n")
+        tabularize(routes, "n")
     assert to_table([{"a": [1, 2], "b": ["x"], "c": 5}]) == [{"a": 1, "b": "x", "c": 5}, {"a": 2, "b": "", "c": 5}]
     assert to_table([[1, 2], [3, 4]]) == [{"col1": 1, "col2": 2}, {"col1": 3, "col2": 4}]
     assert to_table([{"a": {"b": [1]}}], "r") == [{"a.b.col1": 1}]
     with pytest.raises(QueryError):
         to_table({"a": [{"x": 1}], "b": [{"y": 1}]})
-    assert classify(teams.schema) == "BAD" and classify(teams.schema["city"].dataType) == "ROW"
+    assert classify(routes.schema) == "BAD" and classify(routes.schema["depot"].dataType) == "ROW"
     assert table_to_csv([{"b": True, "a": 'x"y'}, {"a": None}], bools_as_ints=True) == 'a,b\n"x""y",1\n,'
 
 
