@@ -84,3 +84,41 @@ def embedded_json(texts: DataFrame, column: str = "value", starts: str = '"[{')
 
     found = mapped(texts, column, one, "found array<struct<start: long, end: long, json: string>>")
     return found.select(*(F.col(f"`{c}`") for c in texts.columns if c != column), F.explode("found").alias("found")).select("*", "found.*").drop("found")
+
+
+def node_paths(documents: DataFrame, column: str = "value", style: str = "query", scalars_only: bool = False) -> DataFrame:
+    """A row for each node of each document (JSON text): the other columns, path (query, javascript or python style), kind and json. Unreadable documents have no nodes."""
+    def one(text: str | None) -> tuple:
+        from docloom.dynamic import reader, writer
+        from docloom.dynamic.evaluator import kind_of
+
+        try:
+            v = reader.parse(text or "")
+        except JsonError:
+            return ([],)
+        return ([{"path": writer.path(list(keys), style), "kind": kind_of(x), "json": writer.compact(x, False)} for keys, x in writer.nodes(v) if not (scalars_only and isinstance(x, (dict, list)))],)
+
+    found = mapped(documents, column, one, "nodes array<struct<path: string, kind: string, json: string>>")
+    return found.select(*(F.col(f"`{c}`") for c in documents.columns if c != column), F.explode("nodes").alias("node")).select("*", "node.*").drop("node")
+
+
+def selections(texts: DataFrame, column: str = "value", spans: str = "spans") -> DataFrame:
+    """texts with document (JSON text) and error: the parts of each text that spans (array of structs start, end; in characters) select, each read as JSON of its own, as one object by `start,end`."""
+    def one(text: str | None) -> tuple:
+        from docloom.dynamic import reader, writer
+
+        if text is None:
+            return None, "no text"
+        head, _, body = text.partition("\0")
+        out = {}
+        for span in filter(None, head.split(";")):
+            a, b = map(int, span.split(","))
+            try:
+                out[span] = reader.parse(body[a:b])
+            except JsonError as e:
+                return None, f"{span}: {e}"
+        return writer.compact(out, False), None
+
+    marks = F.array_join(F.transform(spans, lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["end"].cast("string"))), ";")
+    both = texts.withColumn("__marked", F.when(F.col(column).isNotNull(), F.concat(F.coalesce(marks, F.lit("")), F.lit("\0"), F.col(column))))
+    return mapped(both, "__marked", one, "document string, error string").drop("__marked")

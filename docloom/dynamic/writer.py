@@ -126,6 +126,46 @@ def yaml(v, depth: int = 0) -> str:
     return f"{pad}{plain(v)}\n"
 
 
+# The words and marks of DSON.
+DSON_PAIRS, DSON_ITEMS = (",", ".", "!", "?"), (" and ", " also ")
+
+
+def dson(v) -> str:
+    """Doge serialized object notation. Numbers are octal, part by part (a float's whole part, fraction and exponent each as an integer); infinities and NaN can't be written."""
+    def octal(n: int) -> str:
+        return "1" + "0" * 21 if n == -(1 << 63) else f"-{-n:o}" if n < 0 else f"{n:o}"
+
+    if isinstance(v, dict):
+        pairs = [f"{scalar(k)} is {dson(x)}" for k, x in v.items()]
+        return "such " + "".join(p + (DSON_PAIRS[k % 4] + " " if k + 1 < len(pairs) else " ") for k, p in enumerate(pairs)) + "wow"
+    if isinstance(v, list):
+        items = [dson(x) for x in v]
+        return "so " + "".join(x + (DSON_ITEMS[k % 2] if k + 1 < len(items) else " ") for k, x in enumerate(items)) + "many"
+    if v is None:
+        return "empty"
+    if isinstance(v, bool):
+        return "yes" if v else "no"
+    if isinstance(v, int):
+        return octal(v)
+    if isinstance(v, float):
+        if not math.isfinite(v):
+            raise ValueError("DSON has no infinities and no NaN")
+        parts = re.fullmatch(r"(-?\d+)(?:\.(\d+))?(?:E([+-]\d+))?", scalar(v).removesuffix(".0"))
+        return octal(int(parts[1])) + (f".{octal(int(parts[2]))}" if parts[2] else "") + (f"VERY{octal(int(parts[3]))}" if parts[3] else "")
+    return scalar(v)
+
+
+def nodes(v, above: tuple = ()):
+    """Each node of a document with the keys that lead to it, the document first."""
+    yield above, v
+    if isinstance(v, dict):
+        for k, x in v.items():
+            yield from nodes(x, (*above, k))
+    elif isinstance(v, list):
+        for k, x in enumerate(v):
+            yield from nodes(x, (*above, k))
+
+
 def path(keys: list, style: str = "query") -> str:
     """The path to a node: JavaScript, Python or query style."""
     out = ["@"] if style == "query" else []

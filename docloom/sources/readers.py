@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.dynamic.lane import lints, mapped, ship
-from docloom.errors import JsonError
+from docloom.errors import JsonError, QueryError
 
 #: What a file's suffix says about its kind.
 KINDS = {"json": "json", "json5": "json", "jsonc": "json", "jsonl": "jsonl", "ini": "ini", "csv": "csv", "tsv": "csv"}
@@ -30,6 +30,21 @@ def grep(spark: SparkSession, path: str, patterns: str = "*.json", recursive: bo
     return lints(found).drop("value")
 
 
+#: Text that one object of all files may hold.
+MOST_COMBINED = 400_000_000
+
+
+def grep_object(spark: SparkSession, path: str, patterns: str = "*.json", recursive: bool = True, most: int = MOST_COMBINED) -> DataFrame:
+    """One row: value, the object (JSON text) of all readable files that grep() finds, by path, to be queried as one document. More than `most` bytes in all are refused; query grep()'s rows then."""
+    found = grep(spark, path, patterns, recursive).where("json is not null").select("path", "json")
+    size = found.agg(F.sum(F.octet_length("json"))).first()[0] or 0
+    if size > most:
+        raise QueryError(f"{size} bytes are too many for one object")
+    pair = F.concat(F.to_json(F.array("path")).substr(F.lit(2), F.length(F.to_json(F.array("path"))) - 2), F.lit(": "), F.col("json"))
+    pairs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", pair.alias("pair")))), lambda x: x["pair"]), ", ")
+    return found.agg(F.concat(F.lit("{"), pairs, F.lit("}")).alias("value"))
+
+
 def json_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Strict or near-strict JSON files as a relation, by Spark's own reader."""
     r = spark.read.option("multiLine", True).option("allowComments", True).option("allowSingleQuotes", True).option("allowUnquotedFieldNames", True).option("allowNonNumericNumbers", True)

@@ -9,11 +9,11 @@ from docloom.dynamic.lane import mapped
 from docloom.errors import JsonError
 from docloom.plans.typed import quoted
 
-STYLES = ("m", "c", "g", "w", "p", "yaml", "ini", "lines")
+STYLES = ("m", "c", "g", "w", "p", "yaml", "ini", "lines", "dson")
 
 
 def formatted(documents: DataFrame, style: str = "c", sort_keys: bool = True, indent: int = 4, column: str = "value") -> DataFrame:
-    """documents with text: each one in a style (m, c, g, w, p, yaml, ini, lines); null for what can't be read or written so."""
+    """documents with text: each one in a style (m, c, g, w, p, yaml, ini, lines, dson); null for what can't be read or written so."""
     if style not in STYLES:
         raise ValueError(f"unknown style {style!r}")
 
@@ -24,8 +24,8 @@ def formatted(documents: DataFrame, style: str = "c", sort_keys: bool = True, in
             return (None,)
         try:
             v = reader.parse(text)
-            if style in ("yaml", "ini", "lines"):
-                return ({"yaml": writer.yaml, "ini": writer.ini, "lines": writer.json_lines}[style](v),)
+            if style in ("yaml", "ini", "lines", "dson"):
+                return ({"yaml": writer.yaml, "ini": writer.ini, "lines": writer.json_lines, "dson": writer.dson}[style](v),)
             return (writer.styled(v, style, sort_keys, indent),)
         except (JsonError, ValueError):
             return (None,)

@@ -174,3 +174,65 @@ def test_lints(spark):
 
     r = lints(spark.createDataFrame([("{a: 1}",)], "value string")).select("json", "level", F.size("lints").alias("n")).first()
     assert tuple(r) == ('{"a": 1}', "JSON5", 1)
+
+
+def test_sorting_inside_documents(spark):
+    from docloom.operators import sorting
+
+    docs = spark.createDataFrame([('{"a": ["b", "C", "a"], "n": {"x": [3, 1], "y": [2, 9, 4]}}',), ("{",), (None,)], "value string")
+    first = lambda **how: sorting.sort_documents(docs, **how).first()["result"]
+    assert first(path="@.a") == '{"a": ["a", "b", "C"], "n": {"x": [3, 1], "y": [2, 9, 4]}}'
+    assert first(path="@.n", many=True, descending=True) == '{"a": ["b", "C", "a"], "n": {"x": [3, 1], "y": [9, 4, 2]}}'
+    assert first(path="@.n.y", by="@ % 4") == '{"a": ["b", "C", "a"], "n": {"x": [3, 1], "y": [4, 9, 2]}}'
+    assert first(path="@.n.y", as_text=True, descending=True).endswith('"y": [9, 4, 2]}}')
+    shuffled = [first(path="@.n.y", seed=k) for k in (1, 1, 2, 3, 4)]
+    assert shuffled[0] == shuffled[1] and len(set(shuffled)) > 1 and all(sorted(json.loads(x)["n"]["y"]) == [2, 4, 9] for x in shuffled)
+    rows = sorting.sort_documents(docs, "@.a", ignore_case=True).collect()
+    assert [r["error"] is None for r in rows] == [True, False, False]
+    assert sorting.sort_documents(docs, "@.n").first()["error"] == "only an array can be sorted"
+
+
+def test_sorting_and_shuffling_relations(spark):
+    from docloom.operators import sorting
+
+    df = spark.createDataFrame([("b", 1), ("A", 2), (None, 3), ("a", 4)], "s string, n long")
+    assert [r["n"] for r in sorting.sort_relation(df, "s", "-n", ignore_case=True).collect()] == [3, 4, 2, 1]
+    assert [r["n"] for r in sorting.sort_relation(df, "-s").collect()] == [1, 4, 2, 3]
+    orders = [[r["n"] for r in sorting.shuffle(df, seed).collect()] for seed in (1, 1, 2, 3, 4, 5)]
+    assert orders[0] == orders[1] and len({tuple(o) for o in orders}) > 1 and all(sorted(o) == [1, 2, 3, 4] for o in orders)
+
+
+def test_dson():
+    from docloom.dynamic.writer import dson
+
+    assert dson({"a": 8, "b": [True, None, "x"], "c": {}, "d": [], "e": -9.5, "f": 1}) == 'such "a" is 10, "b" is so yes and empty also "x" many. "c" is such wow! "d" is so many? "e" is -11.5, "f" is 1 wow'
+    assert dson([2.5e30, -(1 << 63), 3.0]) == "so 2.5VERY36 and 1000000000000000000000 also 3 many"
+    with pytest.raises(ValueError):
+        dson(float("nan"))
+
+
+def test_node_paths(spark):
+    from docloom.dynamic.lane import node_paths
+
+    docs = spark.createDataFrame([(7, '{"a": [1, {"b c": null}]}'), (8, "]")], "id long, value string")
+    assert [tuple(r) for r in node_paths(docs).collect()] == [(7, "@", "object", '{"a": [1, {"b c": null}]}'), (7, "@.a", "array", '[1, {"b c": null}]'), (7, "@.a[0]", "integer", "1"), (7, "@.a[1]", "object", '{"b c": null}'), (7, "@.a[1][`b c`]", "null", "null")]
+    assert [r["path"] for r in node_paths(docs, style="python", scalars_only=True).collect()] == ["['a'][0]", "['a'][1]['b c']"]
+
+
+def test_selections(spark):
+    from docloom.dynamic.lane import selections
+
+    texts = spark.createDataFrame([("x [1] y {a: 2}", [(2, 5), (8, 14)]), ("é[3]", [(1, 4)]), ("[", [(0, 1)]), (None, None)], "value string, spans array<struct<start: long, end: long>>")
+    rows = selections(texts).collect()
+    assert [r["document"] for r in rows] == ['{"2,5": [1], "8,14": {"a": 2}}', '{"1,4": [3]}', None, None] and rows[2]["error"].startswith("0,1: ")
+
+
+def test_grep_as_one_object(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"x": 1}')
+    (tmp_path / "b.json").write_text("[2]")
+    (tmp_path / "c.json").write_text("@")
+    one = readers.grep_object(spark, str(tmp_path))
+    (row,) = Engine(spark).query_documents("keys(@)[:]->s_find(@, g`[a-z]\\.json$`)[0]", one).collect()
+    assert row["result"] == '["a.json", "b.json"]'
+    with pytest.raises(QueryError):
+        readers.grep_object(spark, str(tmp_path), most=3)
