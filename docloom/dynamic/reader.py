@@ -40,6 +40,9 @@ class Reader:
     at: int = 0
     lints: list = field(default_factory=list)
     comments: list = field(default_factory=list)
+    #: Where each node (by the keys that lead to it) begins, a pair at its key.
+    places: dict = field(default_factory=dict)
+    path: tuple = ()
 
     def note(self, level: int, message: str) -> None:
         self.lints.append(Lint(level, self.at, message))
@@ -224,14 +227,22 @@ class Reader:
 
     def array(self, depth: int) -> list:
         out = []
+        above = self.path
         for _ in self.items("]", "}", depth):
+            self.path = (*above, len(out))
+            self.places[self.path] = self.at
             out.append(self.value(depth + 1))
+        self.path = above
         return out
 
     def object(self, depth: int) -> dict:
         out = {}
+        above = self.path
         for _ in self.items("}", "]", depth):
+            at = self.at
             k = self.key()
+            self.path = (*above, k)
+            self.places[self.path] = at
             self.skip()
             if self.text[self.at : self.at + 1] == ":":
                 self.at += 1
@@ -240,6 +251,7 @@ class Reader:
             if k in out:
                 self.note(BAD, f"the key {k!r} twice")
             out[k] = self.value(depth + 1)
+        self.path = above
         return out
 
 
@@ -255,6 +267,16 @@ def read(text: str) -> tuple[object, list[Lint], list]:
     return value, r.lints, r.comments
 
 
+def read_commented(text: str) -> tuple[object, list, dict]:
+    """A document, its comments (place and text), and the places of its nodes."""
+    r = Reader(text)
+    r.skip()
+    r.places[()] = r.at
+    value = r.value()
+    r.skip()
+    return value, r.comments, r.places
+
+
 def parse(text: str, level: int = JSON5):
     """A document; lints above the level are errors."""
     value, lints, _ = read(text)

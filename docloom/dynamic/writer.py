@@ -87,6 +87,34 @@ def styled(v, style: str = "m", sort_keys: bool = True, indent: int = 4) -> str:
     return {"g": google, "w": whitesmith, "p": pprint}[style](v, sort_keys, indent)
 
 
+def commented(v, comments: list, places: dict, indent: int = 4) -> str:
+    """Google style with the comments of the source: each on lines of its own, before the node that follows it there, at that node's depth; keys stay in their order. comments and places: see reader.read_commented()."""
+    waiting = sorted(comments)
+
+    def due(place: float, pad: str) -> str:
+        out = ""
+        while waiting and waiting[0][0] < place:
+            text = waiting.pop(0)[1].rstrip()
+            out += pad + (text if text.startswith("/") else "//" + text[1:]) + "\n"
+        return out
+
+    def written(x, keys: tuple, depth: int) -> str:
+        if not isinstance(x, (dict, list)) or not x:
+            return compact(x, False)
+        pad, end = " " * indent * (depth + 1), " " * indent * depth
+        pairs = list(x.items()) if isinstance(x, dict) else list(enumerate(x))
+        lines = []
+        for n, (k, y) in enumerate(pairs):
+            before = due(places.get((*keys, k), 0), pad)
+            head = f"{scalar(k)}: " if isinstance(x, dict) else ""
+            lines.append(f"{before}{pad}{head}{written(y, (*keys, k), depth + 1)}{',' if n + 1 < len(pairs) else ''}\n")
+        marks = "{}" if isinstance(x, dict) else "[]"
+        return f"{marks[0]}\n{''.join(lines)}{end}{marks[1]}"
+
+    out = due(places.get((), 0), "") + written(v, (), 0)
+    return out + ("\n" + due(math.inf, "").rstrip("\n") if waiting else "")
+
+
 def json_lines(v) -> str:
     return "\n".join(compact(x) for x in (v if isinstance(v, list) else [v]))
 
