@@ -28,9 +28,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where the setting is absent, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where the setting is absent and everything runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -67,7 +69,9 @@ def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     n = df.count()
     if n <= most:
         return df
-    return df.where(F.xxhash64(key) < F.lit(int(-(1 << 63) + (1 << 64) * most / n))).limit(2 * most)
+    chosen = df.where(F.xxhash64(key) < F.lit(int(-(1 << 63) + (1 << 64) * most / n)))
+    # rows that share a key share its hash; beyond twice as many, the same ones go in each run
+    return chosen.orderBy(F.xxhash64(key), F.xxhash64(*df.columns)).limit(2 * most)
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:

@@ -175,14 +175,29 @@ class Codec:
         return " ".join([self.strings[i] for i in ids])
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(name: str, spec) -> Codec:
+    """The codec of a vocabulary (a broadcast), made once a worker, so that its memory serves the next tasks; a worker keeps one."""
+    if name not in _codecs:
+        _codecs.clear()
+        _codecs[name] = Codec(spec.value)
+    return _codecs[name]
+
+
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (array of int, if with_ids), ids_sha256 of the decimal ids joined by one space, and decoded_sha256 of the decoded text. One narrow pass; the vocabulary (a file of fixed size) is broadcast."""
     spark = docs.sparkSession
     small_batches(spark)
-    spec = spark.sparkContext.broadcast(load(path))
+    loaded = load(path)
+    spec = spark.sparkContext.broadcast(loaded)
+    name = hashlib.sha256(repr(sorted(loaded.items(), key=str)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(spec.value)
+        from docloom.llm.bpe import codec_of  # the worker's own module, which outlives the task
+
+        codec = codec_of(name, spec)
         for b in slices(batches):
             n, all_ids, ids_sha, text_sha = [], [], [], []
             for text in b.column("text").to_pylist():

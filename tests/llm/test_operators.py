@@ -736,6 +736,38 @@ def test_language(spark, odd_texts):
     assert {r["lang_pred"] for r in predict_documents(docs.where("lang is null")).collect()} == {"und"}
 
 
+def test_language_against_counting_strings(documents):
+    """The same predictions and posteriors as naive Bayes over the n-grams themselves (no two of which share a bucket), ties and repeated rows among them."""
+    from math import exp, log
+
+    from docloom.llm.language import BUCKETS, SMOOTHING, held_out, predict_documents
+
+    r = random.Random(8)
+    words = {"en": ["the", "cat"], "fr": ["le", "chat"], "es": ["el", "gato"]}
+    langs = [r.choice(sorted(words)) for _ in range(40)]
+    texts = [" ".join(r.choice(words[x]) for _ in range(r.randrange(1, 5))) for x in langs] + ["", None, "1 2 3", "the le el", "the le el"]
+    langs += [None] * 5
+    docs = documents(texts).select("doc_id", "text").join(documents(texts).sparkSession.createDataFrame(list(enumerate(langs)), "doc_id long, lang string"), "doc_id")
+    teach = {x["doc_id"] for x in docs.where(~held_out()).collect()}
+    grams = lambda t: [t[a : a + n] for n in (1, 2, 3) for a in range(len(t) - n + 1)]
+    counts, many = {x: defaultdict(int) for x in sorted(words)}, defaultdict(int)
+    for i, (t, x) in enumerate(zip(texts, langs)):
+        if i in teach and x:
+            many[x] += 1
+            for g in grams(t):
+                counts[x][g] += 1
+    got = by_id(predict_documents(docs))
+    for i, t in enumerate(texts):
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        joint = {x: log(many[x] / sum(many.values())) + sum(log((counts[x][g] + SMOOTHING) / (sum(counts[x].values()) + SMOOTHING * BUCKETS)) for g in grams(t)) for x in counts}
+        best = max(joint, key=joint.get)
+        assert got[i]["lang_pred"] == best
+        assert got[i]["score"] == pytest.approx(1 / sum(exp(v - joint[best]) for v in joint.values()))
+    assert got[43] | {"doc_id": 0} == got[44] | {"doc_id": 0, "held_out": got[43]["held_out"]}
+
+
 # --- 10: WARC
 
 def test_warc_round_trip(spark):
