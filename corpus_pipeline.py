@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import bpe, decontaminate, jaccard, quality, secrets
-from docloom.llm._shared import written
+from docloom.llm._shared import discard, written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the result is the last stage's."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if kept is not None:
+            discard(kept)  # what the stage before kept has been read
+        kept = docs
     return STAGES[-1][1](spark, docs, sf_dir)
