@@ -45,6 +45,8 @@ RECORDS_PER_FILE = 4000
 LINES, DIRECTORY, KEY_PREFIX = 1000, 1 << 17, 256
 #: Bytes that a file is read by, ranges that are read at once, and the gap between ranges that is read with them.
 PIECE, READ_BYTES, GAP = 1 << 16, 4 << 20, 1 << 14
+#: Records are fetched by a task for each archive, but no more tasks than this, which then have several each.
+MOST_TASKS = 20_000
 SEPARATOR = "\0"
 URL_SAFE = "!#$%&()*+,/:;=?@[]~"
 DATE = "2020-01-01T00:00:00Z"
@@ -320,8 +322,8 @@ def look_up(urls: DataFrame, index: str) -> DataFrame:
     return dealt.mapInArrow(read, "archive string, place long, length long")
 
 
-def fetch(ranges: DataFrame) -> DataFrame:
-    """The records in ranges of archives (archive, place, length), as read_archives() gives them; only these ranges are read, neighbouring ones at once."""
+def fetch(ranges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The records in ranges of archives (archive, place, length), as read_archives() gives them; only these ranges are read, neighbouring ones at once. tasks: how many share the archives, as the ranges' own size says little."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         name, file, held, start = None, None, b"", 0
         for b in batches:
@@ -342,7 +344,7 @@ def fetch(ranges: DataFrame) -> DataFrame:
         if file:
             file.close()
 
-    dealt = ranges.repartition("archive").sortWithinPartitions("archive", "place")  # an archive has RECORDS_PER_FILE records at most
+    dealt = ranges.repartition(*([tasks] if tasks else []), "archive").sortWithinPartitions("archive", "place")  # an archive has RECORDS_PER_FILE records at most
     return dealt.mapInArrow(lambda batches: in_batches(rows(batches), RECORD_SCHEMA), RECORD)
 
 
@@ -368,4 +370,5 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     archives, index = new_folder(spark, "warc"), new_folder(spark, "warc-index")
     write_archives(pages, archives)
     build_index(spark, archives, index)
-    return fetch(look_up(only(pages, "url"), index))
+    many = files_under(spark, archives).count()
+    return fetch(look_up(only(pages, "url"), index), min(max(1, many), MOST_TASKS))
