@@ -850,3 +850,71 @@ def test_stages_keep_other_columns(spark, documents):
         other = make(clash)
         assert other.columns == clash.columns and other.count() == rows
     assert decontaminate.remove(docs.drop("n_chars"), benchmark).first()["text"].startswith("a  e f")
+
+
+# --- repeated rows, ties and clashing names
+
+def test_repeated_rows_have_repeated_results(spark, documents, prose):
+    import public_tokenizers
+
+    from docloom.llm import bpe, jaccard, language, quality, secrets
+
+    texts = [prose(30) for _ in range(12)] + ["password: abcdefghijkl12", "", None]
+    once = documents(texts)
+    twice = once.unionAll(once)
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    for run in (secrets.scan, lambda d: bpe.encode_documents(d, public_tokenizers.path("word_bpe_49k.json")), lambda d: quality.classify(d, labels), language.predict_documents, jaccard.cluster):
+        rows = [tuple(map(str, r)) for r in run(clashing(twice)).collect()]
+        assert len(rows) == 2 * len(texts) and all(rows.count(r) % 2 == 0 for r in rows)
+
+
+def test_ties_at_the_boundary_are_all_kept(spark, documents):
+    from docloom.llm.quality import classify
+
+    texts = ["good words here"] * 10 + ["BAD!! JUNK!!"] * 10
+    labels = spark.createDataFrame([(i, int(i < 10), 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    rows = documents(texts, [i % 5 + (10 if i >= 10 else 0) for i in range(20)])  # each row twice
+    kept = defaultdict(set)
+    for r in classify(rows, labels).collect():
+        kept[r["doc_id"]].add(r["kept"])
+    assert all(len(v) == 1 for v in kept.values())
+
+
+def test_top_k_with_clashing_names_and_repeated_vectors(spark):
+    from docloom.llm.topk import top_k
+
+    df = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(101)] + [(7, [2.0, 1.0]), (None, [9.0, 9.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in top_k(df.selectExpr("*", "1 AS VEC_ID", "2 AS Embedding")).orderBy("query_id", "rank").collect()]
+    rows = [(i, [256 * (i % 3), 256]) for i in range(101)] + [(7, [512, 256])]
+    expected = []
+    for q in (0, 50, 100):
+        v = dict(rows[:101])[q]
+        best = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q))[:5]
+        expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == expected
+
+
+def test_near_copies_in_a_large_group(documents, prose):
+    """A group of a few hundred different near copies, in blocks of a few: every document's number of links, and one component."""
+    from docloom.llm import jaccard
+
+    r = random.Random(90)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(220):
+        w = list(base)
+        for _ in range(r.randrange(0, 4)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += texts[:15] + [" ".join(f"other{k}" for k in range(100))]
+    sets = [frozenset(tuple(t.split()[a : a + 4]) for a in range(len(t.split()) - 3)) for t in texts]
+    fits = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    expected = [sum(fits(x, y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+    blocks = jaccard.BLOCK_SKETCHES, jaccard.BLOCK_SETS
+    jaccard.BLOCK_SKETCHES, jaccard.BLOCK_SETS = 50, 30
+    try:
+        got = by_id(jaccard.cluster(documents(texts)))
+    finally:
+        jaccard.BLOCK_SKETCHES, jaccard.BLOCK_SETS = blocks
+    assert [got[i]["n_links"] for i in range(len(texts))] == expected
+    assert [got[i]["component_id"] for i in range(len(texts))] == [c for _, c in components_by_force(texts, 4, (85, 100))]

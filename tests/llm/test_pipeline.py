@@ -36,3 +36,18 @@ def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert len(out) == len({r["doc_id"] for r in out}) > 50
     assert all(r["n_tokens"] == len(r["ids"]) for r in out)
+
+
+def test_odd_tables(spark, sf_dir, tmp_path):
+    """Empty tables, null and empty texts, and repeated rows go through all stages."""
+    import corpus_pipeline
+
+    benchmark, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("benchmark", "labels"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "x" * 50_000), (4, "tab\t\x00   end")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS LONG) AS n_chars")
+    for name, table, rows in (("empty", odd.limit(0), 0), ("odd", odd, 5)):
+        folder = tmp_path / name
+        for n, t in (("documents", table.select(docs.columns)), ("benchmark", benchmark.limit(0) if not rows else benchmark), ("labels", labels.limit(0))):
+            t.write.parquet(f"file://{folder}/{n}.parquet")
+        out = corpus_pipeline.run(spark, f"file://{folder}").collect()
+        assert len(out) == rows and all(r["n_tokens"] == len(r["ids"]) for r in out)
