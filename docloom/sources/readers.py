@@ -45,9 +45,9 @@ def grep_object(spark: SparkSession, path: str, patterns: str = "*.json", recurs
     return found.agg(F.concat(F.lit("{"), pairs, F.lit("}")).alias("value"))
 
 
-def json_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Strict or near-strict JSON files as a relation, by Spark's own reader."""
-    r = spark.read.option("multiLine", True).option("allowComments", True).option("allowSingleQuotes", True).option("allowUnquotedFieldNames", True).option("allowNonNumericNumbers", True)
+def json_documents(spark: SparkSession, path: str, schema: str | None = None, whole_files: bool = True) -> DataFrame:
+    """Strict or near-strict JSON files as a relation, by Spark's own reader. Without whole_files each line is a document, and large files are split among tasks."""
+    r = spark.read.option("multiLine", whole_files).option("allowComments", True).option("allowSingleQuotes", True).option("allowUnquotedFieldNames", True).option("allowNonNumericNumbers", True)
     return (r.schema(schema) if schema else r).json(path)
 
 
@@ -55,16 +55,16 @@ def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
-def csv(spark: SparkSession, path: str, columns: int | None = None, delimiter: str | None = None, newline: str | None = None, quote: str = '"', header: bool = True, malformed: str | None = None) -> DataFrame:
-    """RFC 4180 files as a relation of strings; without a delimiter it is sniffed. Rows of another number of columns are dropped; with malformed, a column of that name, they stay, and it holds their text (null for good rows)."""
+def csv(spark: SparkSession, path: str, columns: int | None = None, delimiter: str | None = None, newline: str | None = None, quote: str = '"', header: bool = True, malformed: str | None = None, line_breaks: bool = True) -> DataFrame:
+    """RFC 4180 files as a relation of strings; without a delimiter it is sniffed. Rows of another number of columns are dropped; with malformed, a column of that name, they stay, and it holds their text (null for good rows). line_breaks: quoted values may hold some; where none do, without it, large files are split among tasks."""
     if delimiter is None:
         head = [r[0] for r in spark.read.text(path).limit(SNIFFED_LINES).collect()]
         delimiter = sniff("\n".join(head))[0] or ","
-    r = spark.read.option("multiLine", True).option("sep", delimiter).option("quote", quote).option("escape", quote).option("mode", "DROPMALFORMED").option("header", header)
+    r = spark.read.option("multiLine", line_breaks).option("sep", delimiter).option("quote", quote).option("escape", quote).option("mode", "DROPMALFORMED").option("header", header)
     if newline:
         r = r.option("lineSep", newline)
     if malformed:
-        plain = csv(spark, path, columns, delimiter, newline, quote, header).schema
+        plain = csv(spark, path, columns, delimiter, newline, quote, header, line_breaks=line_breaks).schema
         return r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", malformed).schema(plain.add(malformed, "string")).csv(path)
     if columns and not header:
         r = r.schema(", ".join(f"_c{i} string" for i in range(columns)))

@@ -49,7 +49,8 @@ def test_tabularize_strategies(routes):
 def test_schema_inference(spark):
     docs = ['{"a": 1, "b": [1, 2.5]}', '{"a": null, "c": {"d": "x"}}', '{"a": 2}', "not json", None]
     df = spark.createDataFrame([(d,) for d in docs], "value string").repartition(3)
-    got = schemas.infer(df)
+    got, unreadable = schemas.infer_counted(df)
+    assert unreadable == 1 and schemas.infer(df) == got
     assert got["type"] == "object" and got["required"] == ["a"]
     assert got["properties"]["a"] == {"type": ["integer", "null"]} and got["properties"]["b"] == {"type": "array", "items": {"type": "number"}}
     assert schemas.as_schema(schemas.partial([1, [2], {"a": 3}]))["items"]["anyOf"][0] == {"type": "integer"}
@@ -72,6 +73,13 @@ def test_validation(value, kinds):
     assert [k for k, _, _ in schemas.problems(SCHEMA, value)] == kinds
 
 
+def test_validation_of_columns(spark):
+    df = spark.createDataFrame([(1, 1.0, "x", None), (2, 2.5, None, True)], "a long, b double, c string, d boolean")
+    schema = {"properties": {"a": {"type": "number", "maximum": 1}, "b": {"type": "integer"}, "c": {"type": "string"}, "d": {"type": ["boolean", "null"]}, "e": {}}, "required": ["c", "e"]}
+    rows = [r["problems"] for r in schemas.validate_columns(df, schema).orderBy("a").collect()]
+    assert rows == [["e:required"], ["a:maximum", "b:type", "c:type", "c:required", "e:required"]]
+
+
 def test_validation_of_documents(spark):
     df = spark.createDataFrame([('{"a": 1}', "x/a.json"), ("{}", "x/a.json"), ("[", "b.txt")], "value string, path string")
     assert [len(r["problems"]) for r in schemas.validate(df, SCHEMA).collect()] == [0, 1, 1]
@@ -110,6 +118,11 @@ def test_sources(spark, tmp_path):
     assert set(found) == {"a.json", "b.json"} and found["a.json"]["json"] == '{"x": 1}' and found["b.json"]["level"] == "FATAL"
     (tmp_path / "t.csv").write_text('a;b\n1;"x;y"\n2;"q""r"\n')
     assert sorted(tuple(r) for r in readers.csv(spark, str(tmp_path / "t.csv")).collect()) == [("1", "x;y"), ("2", 'q"r')]
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n3\n4,5,6\n")
+    for breaks in (True, False):
+        rows = sorted((r["a"], r["b"], r["bad"]) for r in readers.csv(spark, str(tmp_path / "bad.csv"), malformed="bad", line_breaks=breaks).collect())
+        assert [r[2] for r in rows] == [None, "3", "4,5,6"] and rows[0][:2] == ("1", "2")
+    assert readers.csv(spark, str(tmp_path / "bad.csv")).collect() == [("1", "2")]
     assert readers.sniff("a\tb\n1\t2\n") == ("\t", "\n", 2) and readers.sniff("hello") == (None, None, -1)
     (tmp_path / "l.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
     assert readers.read(spark, str(tmp_path / "l.jsonl")).count() == 2
