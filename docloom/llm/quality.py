@@ -44,6 +44,8 @@ SMOOTHING = 0.5
 STEMS = (4, 5, 6, 7, 8)
 #: Words and beginnings that so many toxic documents hold are in the toxic model, at most so many of them.
 TOXIC_SEEN, TOXIC_MOST = 2, 1 << 16
+#: Log-ratios from here on count.
+TELLING = 1.0
 TOXIC = 1e15
 #: A document's toxicity adds up so many of its largest log-ratios.
 WORST = 3
@@ -92,7 +94,7 @@ def stems(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Toxic:
-    """Log-ratios (toxic over good, above 0) of hashes of words and beginnings; a document's toxicity is the sum of its WORST largest, 0 without any."""
+    """Log-ratios (toxic over good, TELLING or more) of hashes of words and beginnings; a document's toxicity is the sum of its WORST largest, 0 without any."""
 
     def __init__(self, hashes: np.ndarray, ratios: np.ndarray) -> None:
         order = np.argsort(hashes)
@@ -164,7 +166,7 @@ def fit_toxic(docs: DataFrame, sample: dict[int, tuple[bool, bool]]) -> Toxic:
 
     counted = only(docs, "doc_id", "text").mapInArrow(count, "hash long, toxic long, good long").groupBy("hash").agg(F.sum("toxic").alias("toxic"), F.sum("good").alias("good"))
     ratio = F.log((F.col("toxic") + SMOOTHING) / (bad.sum() + 2 * SMOOTHING)) - F.log((F.col("good") + SMOOTHING) / ((~bad).sum() + 2 * SMOOTHING))
-    telling = counted.where(F.col("toxic") >= TOXIC_SEEN).select("hash", ratio.alias("ratio")).where("ratio > 0")
+    telling = counted.where(F.col("toxic") >= TOXIC_SEEN).select("hash", ratio.alias("ratio")).where(F.col("ratio") >= TELLING)
     got = telling.orderBy(F.desc("ratio"), "hash").limit(TOXIC_MOST).toPandas()
     return Toxic(got["hash"].to_numpy(np.int64).astype(np.uint64), got["ratio"].to_numpy(float)) if len(got) else none
 
