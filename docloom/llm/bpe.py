@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from docloom.llm._shared import only, slices, small_batches
 
 #: Most words, and most tokens between white space, whose encoding a worker remembers, in each of two generations.
-REMEMBERED_WORDS, REMEMBERED_TOKENS = 300_000, 100_000
+REMEMBERED_WORDS, REMEMBERED_TOKENS = 120_000, 40_000
 #: Longer words are encoded afresh each time.
 LONGEST_REMEMBERED = 64
 #: A queued merge is one integer: the merge, then so many bits for the place of its left symbol.
