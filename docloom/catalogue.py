@@ -124,6 +124,10 @@ QUERIES: dict[str, tuple[str, str, str]] = {
     "array_quantile": ("embeddings", "@[:]{k: @.vec_id, q: round(quantile(@.embedding, 0.25), 5)}", "SELECT vec_id AS k, round_even(list_aggregate(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), 'quantile_cont', 0.25), 5) AS q FROM embeddings"),
     "flatten_relation": ("embeddings", "@{n: len(flatten(@[:].embedding)), high: max(flatten(@[:].embedding))}", "SELECT count(*) AS n, CAST(max(x) AS DOUBLE) AS high FROM (SELECT unnest(embedding) AS x FROM embeddings)"),
     "objects": ("nation", "@[:]{k: @.n_nationkey, names: s_join(`,`, keys(@)), n: len(@), has: in(n_name, @)}", "SELECT n_nationkey AS k, 'n_nationkey,n_name,n_regionkey' AS names, CAST(3 AS BIGINT) AS n, true AS has FROM nation"),
+    "dict_items": ("nation", "@[:]{k: @.n_nationkey, d: dict(items(@[n_nationkey, n_regionkey])).n_regionkey}", "SELECT n_nationkey AS k, n_regionkey AS d FROM nation"),
+    "values": ("nation", "@[:]{k: @.n_nationkey, s: sum(values(@[n_nationkey, n_regionkey])), m: avg(values(@[n_nationkey, n_regionkey]))}", "SELECT n_nationkey AS k, CAST(n_nationkey + n_regionkey AS DOUBLE) AS s, (n_nationkey + n_regionkey) / 2 AS m FROM nation"),
+    "iterable": ("nation", "@[:]{k: @.n_nationkey, a: iterable(@), b: iterable(@.n_name)}", "SELECT n_nationkey AS k, true AS a, false AS b FROM nation"),
+    "avg": ("lineitem", "group_by(@, l_linestatus).*{m: round(avg(@[:].l_quantity), 6)}", "SELECT l_linestatus, round_even(avg(l_quantity), 6) AS m FROM lineitem GROUP BY 1"),
     "add_items": ("nation", "@[:]->add_items(@, extra, @.n_nationkey * 2, n_name, `x`)", "SELECT n_nationkey, 'x' AS n_name, n_regionkey, CAST(n_nationkey * 2 AS BIGINT) AS extra FROM nation"),
     # edits
     "assign_value": ("lineitem", "@[:].l_discount = ifelse(@ > 0.05, 0.05, @); @[:]{k: @.l_orderkey, d: @.l_discount}", "SELECT l_orderkey AS k, least(l_discount, 0.05) AS d FROM lineitem"),
@@ -275,6 +279,51 @@ def lint_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n_nationkey", "json", "level")
 
 
+def dson_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.sources.sinks import formatted
+
+    docs = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.to_json(F.struct("n_name", "n_nationkey", F.array("n_regionkey").alias("ids"))).alias("value"))
+    return formatted(docs, "dson").select("n_nationkey", "text")
+
+
+def on_orders(query: str, kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of the dynamic lane on each customer's list of orders."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = customer_orders(spark, sf_dir).select("c_custkey", F.to_json("orders").alias("value"))
+        out = Engine(spark).query_documents(query, docs)
+        return out.select("c_custkey", F.col("result").cast(kind).alias("result"))
+
+    return run
+
+
+def sorted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of each customer's most expensive order, by sorting inside the documents."""
+    from docloom.operators.sorting import sort_documents
+
+    docs = customer_orders(spark, sf_dir).select("c_custkey", F.to_json(F.struct("orders")).alias("value"))
+    out = sort_documents(docs, "@.orders", by="@.o_totalprice", descending=True)
+    return out.select("c_custkey", F.get_json_object("result", "$.orders[0].o_orderkey").cast("long").alias("dearest"))
+
+
+def paths_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.dynamic.lane import node_paths
+
+    docs = customer_orders(spark, sf_dir).select("c_custkey", F.to_json("orders").alias("value"))
+    found = node_paths(docs, scalars_only=True).where(F.col("path").rlike(r"^@\[\d+\]\.o_orderkey$"))
+    return found.select("c_custkey", "path", F.col("json").cast("long").alias("o_orderkey"))
+
+
+def selected_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two selections of each event's text: the JSON and the number in it."""
+    from docloom.dynamic.lane import selections
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
+    at = F.regexp_instr("props", F.lit("[0-9]"))
+    spans = F.array(F.struct(F.lit(0).alias("start"), F.length("props").alias("end")), F.struct((at - 1).alias("start"), (F.length("props") - 1).alias("end")))
+    out = selections(events.withColumn("spans", spans), "props")
+    return out.select("event_id", F.element_at(F.map_values(F.from_json("document", "map<string, string>")), 2).cast("long").alias("k"))
+
+
 def by_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.sources.readers import by_pattern
 
@@ -304,6 +353,14 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "ini_text": (ini_text, "SELECT n_nationkey, '[nation]' || chr(10) || 'name=' || n_name || chr(10) || 'region=' || n_regionkey || chr(10) AS text FROM nation"),
     "pretty_text": (pretty_text, """SELECT n_nationkey, '{' || chr(10) || '    "ids": [' || chr(10) || '        ' || n_regionkey || ',' || chr(10) || '        ' || n_nationkey || chr(10) || '    ],' || chr(10) || '    "n_name": "' || n_name || '"' || chr(10) || '}' AS text FROM nation"""),
     "lint_levels": (lint_levels, """SELECT n_nationkey, CASE n_nationkey % 4 WHEN 2 THEN '[1]' WHEN 3 THEN NULL ELSE '{"n_name": "' || n_name || '"}' END AS json, CASE n_nationkey % 4 WHEN 0 THEN 'STRICT' WHEN 1 THEN 'JSON5' WHEN 2 THEN 'JSONC' ELSE 'FATAL' END AS level FROM nation"""),
+    "dson_text": (dson_text, """SELECT n_nationkey, 'such "n_name" is "' || n_name || '", "n_nationkey" is ' || CASE WHEN n_nationkey >= 8 THEN CAST(n_nationkey // 8 AS VARCHAR) ELSE '' END || n_nationkey % 8 || '. "ids" is so ' || n_regionkey || ' many wow' AS text FROM nation"""),
+    "loop": (on_orders("for x = @[:].o_totalprice; x = @ * 2; end for; round(sum(@[:].o_totalprice))", "long"), "SELECT c_custkey, CAST(round_even(coalesce(sum(o_totalprice * 2), 0), 0) AS BIGINT) AS result FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
+    "recurse_until": (on_orders("len(recurse_until(@, is_num(@)))", "long"), "SELECT c_custkey, 2 * count(o_orderkey) AS result FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
+    "to_csv_lines": (on_orders("len(s_lines(to_csv(@[:]{p: @.o_totalprice, k: @.o_orderkey})))", "long"), "SELECT c_custkey, CASE WHEN count(o_orderkey) > 0 THEN count(o_orderkey) + 2 END AS result FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
+    "records": (on_orders("len(to_records(@))", "long"), "SELECT c_custkey, count(o_orderkey) AS result FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
+    "sorted_orders": (sorted_orders, "SELECT c_custkey, arg_max(o_orderkey, o_totalprice) AS dearest FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
+    "node_paths": (paths_of_orders, "SELECT o_custkey AS c_custkey, '@[' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) || '].o_orderkey' AS path, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey"),
+    "selections": (selected_parts, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
     "by_regex": (by_regex, "SELECT CAST(p_partkey AS VARCHAR) AS key, substr(p_brand, 7) AS brand FROM part UNION ALL SELECT '0', substr(p_brand, 7) FROM part"),
 }
 
