@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def test_stages(spark, sf_dir):
     import corpus_pipeline
-    from docloom.llm import jaccard, secrets
+    from docloom.llm import secrets
     from docloom.llm._shared import written
     from docloom.llm.decontaminate import find
 
@@ -20,9 +20,11 @@ def test_stages(spark, sf_dir):
     wanted = [i for i, r in labels.items() if r["quality"] == 1 and r["toxic"] == 0]
     assert sum(i in good for i in wanted) >= 0.97 * len(wanted)
     # one of each group of near copies stays
-    made = spark.createDataFrame(list(good.items()), "doc_id long, text string")
-    groups = {r["doc_id"]: r["component_id"] for r in jaccard.cluster(made, 5, (80, 100)).collect()}
-    assert set(single) == {i for i, c in groups.items() if i == c}
+    from test_operators import components_by_force
+
+    ids = sorted(good)
+    of = [c for _, c in components_by_force([good[i] for i in ids], 5, (80, 100))]
+    assert set(single) == {i for k, i in enumerate(ids) if of[k] == k}
     # no window of the benchmark is left
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     assert find(spark.createDataFrame(list(clean.items()), "doc_id long, text string"), benchmark).where("n_hit > 0").count() == 0
