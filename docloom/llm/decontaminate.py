@@ -26,7 +26,7 @@ from docloom.llm._shared import ALNUM, hashed, keeps_names, only, slices, small_
 WINDOW = 10
 SAMPLE = 8
 #: Bytes of text in a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of benchmark text that are searched for at a time.
 PHRASE_BYTES = 4 << 20
 END, OTHER, FIRST = 0, 1, 2
