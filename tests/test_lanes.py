@@ -76,3 +76,14 @@ def test_stringified_columns_keep_nulls(spark):
 
     df = spark.createDataFrame([((None, float("nan")),), (None,)], "o struct<a: string, b: double>")
     assert [r["o"] for r in tabularize(df, "s").collect()] == ['{"a":null,"b":NaN}', None]
+
+
+@pytest.mark.parametrize("query", ["sum(@.v)", "mean(@.v)", "avg(@.v)"])
+def test_arrays_add_up_from_first_to_last(spark, query):
+    rows = [{"id": 0, "v": [0.1] * 10}, {"id": 1, "v": [1e16, 1.0, -1e16]}, {"id": 2, "v": [-1e16, 1e16, 1.0]}, {"id": 3, "v": []}, {"id": 4, "v": [math.inf, 1.0, -math.inf]}]
+    df = spark.createDataFrame([(r["id"], r["v"]) for r in rows], "id long, v array<double>")
+    got = {r["id"]: r["x"] for r in Engine(spark).query(f"@[:]{{id: @.id, x: {query}}}", df).collect()}
+    expected = {r["id"]: r["x"] for r in evaluate(f"@[:]{{id: @.id, x: {query}}}", rows)}
+    by_hand = [((((((((0.1 + 0.1) + 0.1) + 0.1) + 0.1) + 0.1) + 0.1) + 0.1) + 0.1) + 0.1, 0.0, 1.0]
+    assert [expected[i] for i in range(3)] == (by_hand if query == "sum(@.v)" else [by_hand[0] / 10, 0.0, 1.0 / 3])
+    assert {i: repr(v) for i, v in got.items()} == {i: repr(v) for i, v in expected.items()}
